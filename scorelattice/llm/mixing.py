@@ -5,9 +5,9 @@ times, the same for all its documents: a whole number of copies and a fraction.
 rounded in pairs: two documents exchange probability so that the words they are expected to give
 stay the same, until one of the two is taken or left for good; the direction is drawn so that every
 document keeps its expected copies. What one pair leaves undecided meets the next document. Blocks
-of documents are rounded side by side, each leaves at most one undecided document, and those are
-rounded again in blocks, up a tree, until one of each source is left and is drawn by itself. So a
-source's words differ from its target by less than one document.
+of documents are rounded side by side, each leaves a few undecided documents, and those are rounded
+again in blocks, up a tree, until one block of each source is left. That one decides all, and turns
+over a few of its documents, most often small ones, to come as near to the target as they allow.
 
 Edge cases: a null text has size 0 and is never taken more than its whole number of copies; a null
 source is a source of its own, last in order; an empty table gives no rows; rows that repeat are
@@ -27,6 +27,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
 #: Documents, or undecided ones, rounded by one task at a time.
 BLOCK = 1024
+#: Small documents that a block leaves undecided beside its last one.
+RESERVE = 3
+#: Most documents of a source that are turned over at the end.
+TURNS = 32
 _SCHEMA = "doc_id long, size long, source_size long, target double, taken long, source_at int, left double, draw long"
 
 
@@ -47,49 +51,57 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -
     return out
 
 
-def _round_pairs(size: np.ndarray, left: np.ndarray, draw: np.ndarray, last: bool) -> np.ndarray:
-    """New fractions: all 0 or 1 but for one at most, which `last` decides too."""
-    left = left.copy()
+def _exchange(la: float, lb: float, wa: float, wb: float, dice: float) -> tuple[float, float]:
+    """New fractions of a pair with the same expected words, one of them 0 or 1, each the old one on average."""
+    up, down = min((1 - la) * wa, lb * wb), min(la * wa, (1 - lb) * wb)
+    if dice * (up + down) < down:  # a gains `up` words from b
+        la, lb = (1.0, lb - up / wb) if (1 - la) * wa <= lb * wb else (la + up / wa, 0.0)
+    else:
+        la, lb = (0.0, lb + down / wb) if la * wa <= (1 - lb) * wb else (la - down / wa, 1.0)
+    snap = lambda x: 0.0 if x < 1e-12 else 1.0 if x > 1 - 1e-12 else x
+    return snap(la), snap(lb)
+
+
+def round_block(size: np.ndarray, left: np.ndarray, draw: np.ndarray, last: bool) -> np.ndarray:
+    """New fractions of a block, in the order given.
+
+    All become 0 or 1, but for one and RESERVE of the smallest, which go up the tree. The last block
+    decides these too, and then turns over the few documents that bring its words nearest to what
+    was expected.
+    """
+    new = left.copy()
     open_ = np.flatnonzero((left > 0) & (left < 1) & (size > 0))
     dice = (mix(draw.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    paired = open_ if last else np.sort(open_[np.argsort(size[open_], kind="stable")][RESERVE:])
     a = -1
-    for b in open_.tolist():
-        if a < 0:
-            a = b
-            continue
-        wa, wb = float(size[a]), float(size[b])
-        up, down = min((1 - left[a]) * wa, left[b] * wb), min(left[a] * wa, (1 - left[b]) * wb)
-        if dice[b] < down / (up + down):  # a gains: `up` words go from b to a
-            if (1 - left[a]) * wa <= left[b] * wb:
-                left[b] -= up / wb
-                left[a] = 1.0
-            else:
-                left[a] += up / wa
-                left[b] = 0.0
-        else:
-            if left[a] * wa <= (1 - left[b]) * wb:
-                left[b] += down / wb
-                left[a] = 0.0
-            else:
-                left[a] -= down / wa
-                left[b] = 1.0
-        left[b] = 0.0 if left[b] < 1e-12 else 1.0 if left[b] > 1 - 1e-12 else left[b]
-        left[a] = 0.0 if left[a] < 1e-12 else 1.0 if left[a] > 1 - 1e-12 else left[a]
-        if not 0 < left[a] < 1:
-            a = b if 0 < left[b] < 1 else -1
-    if last and a >= 0:
-        left[a] = 1.0 if dice[a] < left[a] else 0.0
-    left[(size == 0) & (left < 1)] = 0.0  # no words either way
-    return left
+    for b in paired.tolist():
+        if a >= 0:
+            new[a], new[b] = _exchange(float(new[a]), float(new[b]), float(size[a]), float(size[b]), float(dice[b]))
+        if a < 0 or not 0 < new[a] < 1:
+            a = b if 0 < new[b] < 1 else -1
+    if last:
+        if a >= 0:
+            new[a] = 1.0 if dice[a] < new[a] else 0.0
+        change = np.where(new[open_] > 0, -size[open_], size[open_]).astype(np.float64)
+        error = float((size[open_] * (new[open_] - left[open_])).sum())
+        for _ in range(TURNS if len(open_) else 0):
+            k = int(np.argmin(np.abs(error + change)))
+            if abs(error + change[k]) >= abs(error):
+                break
+            error += change[k]
+            new[open_[k]] = 1 - new[open_[k]]
+            change[k] = -change[k]
+    new[(size == 0) & (new < 1)] = 0.0  # no words either way
+    return new
 
 
 def _rounder(last: bool):
     def run(table: pa.Table) -> pa.Table:
-        cols = {k: table.column(k).to_numpy() for k in ("size", "left", "draw", "taken", "target")}
+        cols = {k: table.column(k).to_numpy() for k in ("size", "left", "draw", "taken")}
         ids = table.column("doc_id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         order = np.lexsort((cols["size"], ids, cols["draw"]))  # the same order in every run
         left = np.empty(len(order))
-        left[order] = _round_pairs(cols["size"][order], cols["left"][order], cols["draw"][order], last)
+        left[order] = round_block(cols["size"][order], cols["left"][order], cols["draw"][order], last)
         taken = cols["taken"] + np.where(left >= 1, cols["size"], 0)
         left = np.where((left > 0) & (left < 1), left, 0.0)
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -117,19 +129,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     whole = F.floor("copies")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * whole).cast("long").alias("taken"), "source_at", (F.col("copies") - whole).alias("left"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
 
-    undecided, done, level, largest = rows, [], 0, max(int(r["n"]) for r in catalogue)
+    undecided, done, level = rows, [], 0
+    counts = [int(r["n"]) for r in catalogue]
     while True:
-        counts = [max(1, -(-int(r["n"]) // block ** (level + 1))) for r in catalogue]
-        blocks = F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("source_at") + 1)
-        last = largest <= block
-        key = F.pmod(F.xxhash64("draw", F.lit(level)), blocks)
+        last = max(counts) <= block
+        blocks = [max(1, -(-n // block)) for n in counts]
+        blocks_of = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("source_at") + 1)
+        key = F.pmod(F.xxhash64("draw", F.lit(level)), blocks_of)
         rounded = undecided.withColumn("draw", F.xxhash64("draw", F.lit(f"level {level}"))).groupBy("source_at", key.alias("block")).applyInArrow(_rounder(last), _SCHEMA)
         if last:
             done.append(rounded)
             break
         rounded = written(rounded, f"mix-{level}")
         done.append(rounded.where("left = 0"))
-        undecided, level, largest = rounded.where("left > 0"), level + 1, -(-largest // block)
+        undecided, level, counts = rounded.where("left > 0"), level + 1, [(RESERVE + 1) * n for n in blocks]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
