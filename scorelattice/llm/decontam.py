@@ -23,6 +23,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +38,12 @@ LEAST_COVER = 0.8
 SHORTEST = 5
 #: Items of one broadcast part.
 PART_ITEMS = 20_000
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
 _EDGE_MARKS = np.zeros(256, bool)
 _EDGE_MARKS[list(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")] = True
 
 
 def folded_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word without case and outer marks, first word of each document)."""
-    data = _FOLD[data]
+    """(hash of each word without outer marks, first word of each document) of lower-case texts."""
     soft = SEPARATOR[data] | _EDGE_MARKS[data]
     starts, ends, first = word_bounds(data, offs)
     # outer marks: the first and the last byte of a word that isn't one
@@ -62,9 +60,7 @@ class Items:
     """Seeds of a part of the test items, sorted by hash, with a bit table in front."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
-        raw = [(t or "").encode() for t in texts]
-        offs = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-        self.words, self.first = folded_words(np.frombuffer(b"".join(raw), np.uint8), offs)
+        self.words, self.first = folded_words(*utf8(pc.utf8_lower(pa.array(texts, pa.large_string()))))
         self.ids = np.array(ids, np.int64)
         self.n = np.diff(self.first)
         self.hashes, self.places = [], []
@@ -151,7 +147,7 @@ def item_parts(benchmark: DataFrame, most: int = PART_ITEMS) -> Iterator[Items]:
 
 
 def _batch_overlaps(items: Items, tables: list[np.ndarray], column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-    data, offs = utf8(column)
+    data, offs = utf8(pc.utf8_lower(column))
     for i, j in chunks(offs):
         words, first = folded_words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         for d, item, s, e in _overlaps(items, tables, words, first):
