@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes that part words: space and \x09-\x0D.
 SEPARATOR = np.zeros(256, bool)
@@ -18,7 +21,10 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document without an id sorts after all others.
 NO_ID = 2**63 - 1
-CHUNK_BYTES = 2_000_000
+#: Text that is hashed in one go: its arrays stay in the processor's cache.
+CHUNK_BYTES = 400_000
+#: Bounds of an Arrow batch, so that long texts don't add up in a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -68,6 +74,29 @@ def order_key(doc_id: Column) -> Column:
 # --- Arrow ----------------------------------------------------------------
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow over batches of bounded size; a worker gives its memory back when a task ends."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    """Freed memory goes back to the system: idle workers stay alive beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; a null has no bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import written
+from scorelattice.llm.common import map_batches, written
 
 #: A node with more than 1/HOT of all edges is hot; there are at most 2 * HOT of them.
 HOT = 256
@@ -50,7 +50,7 @@ def local_forest(edges: DataFrame) -> DataFrame:
             a, b = _forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return map_batches(edges.select("a", "b"), run, "a long, b long")
 
 
 def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:

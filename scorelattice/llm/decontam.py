@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import SEPARATOR, chunks, fold, utf8, word_bounds, word_hashes
+from scorelattice.llm.common import SEPARATOR, chunks, fold, map_batches, utf8, word_bounds, word_hashes
 
 #: Positions of a seed that count. Nine of thirteen words, eight of eleven, and six words in a row.
 SEEDS = ((0, 1, 2, 4, 6, 7, 9, 11, 12), (0, 1, 3, 4, 5, 8, 9, 10), (0, 1, 2, 3, 4, 5))
@@ -172,7 +172,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_overlaps, longest (words), items of every row."""
     sc = docs.sparkSession.sparkContext
     schema = "doc_id long, n_overlaps long, longest long, items array<long>"
-    parts = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(sc.broadcast(p)), schema) for p in item_parts(benchmark)]
+    parts = [map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scanner(sc.broadcast(p)), schema) for p in item_parts(benchmark)]
     if not parts:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_overlaps"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<long>").alias("items"))
     if len(parts) > 1:  # sum up over the parts
@@ -197,5 +197,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for part in item_parts(benchmark):
-        docs = docs.mapInArrow(filtered(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
+        docs = map_batches(docs, filtered(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
     return docs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import NO_ID, written
+from scorelattice.llm.common import NO_ID, map_batches, written
 from scorelattice.llm.components import components, local_forest
 from scorelattice.llm.simhash import Forest
 
@@ -219,7 +219,7 @@ def _pack(values):
             x = flat.flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "weight", "vec"])
 
-    return values.select("id", "label", "weight", "values").mapInArrow(run, "id long, label long, weight long, vec binary")
+    return map_batches(values.select("id", "label", "weight", "values"), run, "id long, label long, weight long, vec binary")
 
 
 def _links_of_length(classes: DataFrame, dims: int, least: float, codes: int | None, tile: int) -> DataFrame:
@@ -230,7 +230,7 @@ def _links_of_length(classes: DataFrame, dims: int, least: float, codes: int | N
     draw = packed.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else packed
     x = _unit(pa.array([r["vec"] for r in draw.orderBy("id", "vec").limit(2 * TRAIN_ROWS).select("vec").collect()], pa.binary()))
     grid = fit(x, codes or int(min(256, max(4, (n / 512) ** 0.5))), least)
-    routed = packed.mapInArrow(_router(grid), "id long, label long, weight long, vec binary, cell int, home boolean")
+    routed = map_batches(packed, _router(grid), "id long, label long, weight long, vec binary, cell int, home boolean")
     routed = written(routed, "vector-cells")
     # tiles of a cell: visitors meet each home tile, home rows each visitor tile
     sizes = routed.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / tile).cast("int").alias("home_tiles"), F.ceil(F.count("*") / tile).cast("int").alias("visitor_tiles")).where("home_tiles > 0")

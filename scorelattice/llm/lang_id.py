@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import crc_bucket
+from scorelattice.llm.common import crc_bucket, map_batches
 
 #: n-grams in a profile, and of a document that are ranked.
 PROFILE = 400
@@ -124,7 +124,7 @@ def train(docs: DataFrame, bucket: int = 0, per_language: int = TRAIN_DOCS, size
         for lang, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = map_batches(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # the `size` best of each language: bounded, whatever the corpus holds
     best = summed.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "code"))), 1, size).alias("top"))
     return Profiles({r["lang"]: np.array([x["code"] for x in r["top"]], np.int64) for r in best.collect()}, size)
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             found = [profiles.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
@@ -150,7 +150,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
             found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(known, docs.schema)
+    return map_batches(docs, known, docs.schema)
 
 
 def with_fold(predicted: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelattice.llm.common import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, here anchored where their first characters can be.
 _LOCAL_BREAK = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -177,7 +179,7 @@ def detect(docs: DataFrame) -> DataFrame:
             added = pa.array([sum(map(len, a.values())) for _, a in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, lines, added], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted(text: str | None) -> str | None:
@@ -211,4 +213,4 @@ def redact(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import NO_ID, order_key, written
-from scorelattice.llm.components import components, local_forest
+from scorelattice.llm.common import NO_ID, map_batches, order_key, written
+from scorelattice.llm.components import components
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 #: Widths of the masks, from the top of the Gray-ordered word down.
@@ -66,7 +66,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["order_id", "fp"])
 
-    return docs.select(order_key(F.col("doc_id")).alias("order_id"), "text").mapInArrow(run, "order_id long, fp long")
+    return map_batches(docs.select(order_key(F.col("doc_id")).alias("order_id"), "text"), run, "order_id long, fp long")
 
 
 def gray_rank(words: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     marked = written(with_fingerprints(docs), "simhash-fps")
     classes = written(marked.groupBy("fp").agg(F.min("order_id").alias("id")), "simhash-classes")
-    groups = components(local_forest(fingerprint_links(classes, limit)))  # node, root over the ids of classes with a link
+    groups = components(fingerprint_links(classes, limit))  # node, root over the ids of classes with a link
     named = classes.join(groups, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "id").alias("component_id"))
     out = marked.join(written(named, "simhash-named"), F.col("fp") == F.col("class_fp"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

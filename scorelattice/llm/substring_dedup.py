@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import NO_ID, chunks, fold, order_key, utf8, word_bounds, word_hashes, written
+from scorelattice.llm.common import NO_ID, chunks, fold, map_batches, order_key, utf8, word_bounds, word_hashes, written
 
 WIDTH = 13
 #: Ends of the batches, as shares of the ids in order.
@@ -187,7 +187,7 @@ class FingerprintIndex:
 
     def add(self, keyed: DataFrame, keep: bool = True) -> DataFrame:
         """Marks (mark_id, mark_sig, marks) of a batch of (order_id, sig, text); with `keep` the batch joins the index."""
-        rows = keyed.select("order_id", "sig", "text").mapInArrow(_flatten(self.width, self.buckets), _FLAT)
+        rows = map_batches(keyed.select("order_id", "sig", "text"), _flatten(self.width, self.buckets), _FLAT)
         for old in self.runs:
             rows = rows.unionByName(old)
         compact = keep and len(self.runs) + 1 >= self.fan_in
@@ -235,4 +235,4 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, batch_ends: tuple[float, ..
         marks = found if marks is None else marks.unionByName(found)
     joined = keyed.join(marks, (F.col("order_id") == F.col("mark_id")) & (F.col("sig") == F.col("mark_sig")), "left")
     doc_id = F.when(F.col("order_id") != NO_ID, F.col("order_id")).alias("doc_id")
-    return joined.select(doc_id, "text", "marks").mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept string")
+    return map_batches(joined.select(doc_id, "text", "marks"), _remove(width), "doc_id long, n_words long, n_removed long, kept string")

@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelattice.llm.common import map_batches
+
 #: The vocabulary: a list of tokens and ranks. A parameter of every entry point.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the public vocabulary was trained with.
@@ -249,7 +251,7 @@ def apply_edits(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in out]], ["doc_id", "n_chars", "n_pieces", "n_tokens", "n_edits", "n_tokens_after", "n_encoded"])
 
-    return rows.select("doc_id", "text", "edits").mapInArrow(run, "doc_id long, n_chars long, n_pieces long, n_tokens long, n_edits long, n_tokens_after long, n_encoded long")
+    return map_batches(rows.select("doc_id", "text", "edits"), run, "doc_id long, n_chars long, n_pieces long, n_tokens long, n_edits long, n_tokens_after long, n_encoded long")
 
 
 def sample_edits(docs: DataFrame, n: int = 4) -> DataFrame:
