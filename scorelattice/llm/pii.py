@@ -52,8 +52,9 @@ _SPELLED_WORD = re.compile(rf"(?i)plus[\x20-]+|{_DIGIT}(?:[\x20,-]{{1,2}}(?={_DI
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
 _AT = re.compile(rf"(?i)\x20?{_OPEN}(?:at|@|arroba){_CLOSE}\x20?")
 _DOT = re.compile(rf"(?i)\x20?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\x20?")
-#: Bare words only stand for marks where the whole has the shape of an address.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:(?P<dot>\x20dot\x20)[A-Za-z0-9-]+)+(?![A-Za-z0-9])")
+#: Bare words only stand for marks where the whole has the shape of an address with a usual ending (fixed values).
+_ENDS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|example|test|uk|de|fr|es|eu|ch|nl|pl|ca|au|jp"
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:(?P<dot>\x20dot\x20)[A-Za-z0-9-]+)*\x20dot\x20(?:{_ENDS})(?![A-Za-z0-9])")
 _BARE_DOT = re.compile(r"\x20dot\x20")
 _DISGUISE = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_CLOSE}|\x20dot\x20|(?<![A-Za-z]){_DIGIT}[\x20,.-]{{1,2}}{_DIGIT}[\x20,.-]")
 

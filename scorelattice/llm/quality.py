@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import WORD, crc_bucket
+from scorelattice.llm.common import crc_bucket
 
 #: Bound on what is fitted: about so many labelled rows.
 TRAIN_ROWS = 20_000
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, bucket: int = 0, rows: int = TRAIN
     total = marked.count()
     share = min(1.0, rows / max(1, total))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    if 16 * min(rows, total) <= 16 * TRAIN_ROWS:  # the bound keeps the drawn ids small
+    if drawn.count() <= 2 * TRAIN_ROWS:  # a larger sample, if one is asked for, is joined by a shuffle
         drawn = F.broadcast(drawn)
     found = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id"), "doc_id", "_y").toPandas().sort_values(["doc_id", "_y"])
     x = {k: found[k].to_numpy(np.float64) for k in found.columns if k not in ("doc_id", "_y")}

@@ -6,10 +6,11 @@ cut into buckets by the leading bits. A bucket of a new batch is sorted and merg
 same bucket of every run and with itself: a window is a repeat if a run has it, or a document of the
 batch with a smaller id. The batch then becomes a run; every `fan_in` runs are merged (compaction).
 
-Verification: bucket and stored bytes together hold 62 bits or more of a fingerprint of all bytes of
-the 13 words; all of them must agree. Marks are then only applied to the very text, by its hash, that
-they were made from. Words themselves aren't stored in runs: a wrong match has a chance of about
-n^2 / 2^63 for n windows (2e-3 at 10^8).
+Verification: a window is found by its fingerprint (the bucket's leading bits and 48 low bits) and
+verified by 16 bits of a second hash of the same words, with another multiplier. Both are stored as
+one number and compared together. Marks are then only applied to the very text, by its hash, that
+they were made from. Words themselves aren't stored in runs: a wrong match among n windows has a chance
+of about n^2 / 2^71 (4e-6 at 10^8 windows).
 
 Edge cases: null texts and texts without words have no words; texts of fewer than `width` words lose
 nothing; a null doc_id comes after all others; rows that share a doc_id are one document in the
@@ -35,8 +36,8 @@ BATCH_ENDS = (0.25, 1.0)
 FAN_IN = 4
 LEAST_BUCKETS = 64
 BUCKET_BYTES = 16_000_000
-#: Bytes of a fingerprint that are kept beside the bucket.
-KEPT = 7
+#: Bytes of a stored number.
+KEPT = 8
 _FLAT = "bucket int, kind string, chunk long, docs binary, hashes binary, gaps binary"
 
 
@@ -64,15 +65,20 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
 
 
-def window_hashes(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of every window, windows of each document) of documents laid end to end."""
+def window_hashes(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, stored number of every window, windows of each document) of documents laid end to end.
+
+    The stored number has the fingerprint's low 48 bits and 16 bits of a second, independent hash.
+    """
     starts, ends, first = word_bounds(data, offs)
     per = np.maximum(np.diff(first) - width + 1, 0)
     if not per.sum():
-        return np.zeros(0, np.uint64), per
-    words = word_hashes(data, starts, ends)
-    found = fold(words, range(width), len(words) - width + 1)
-    return found[np.repeat(first[:-1] - (np.cumsum(per) - per), per) + np.arange(per.sum())], per
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), per
+    n = len(starts) - width + 1
+    at = np.repeat(first[:-1] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+    found = fold(word_hashes(data, starts, ends), range(width), n)[at]
+    check = fold(word_hashes(data, starts, ends, 1), range(width), n)[at]
+    return found, (found & np.uint64((1 << 48) - 1)) | (check << np.uint64(48)), per
 
 
 def _pack_docs(ids: np.ndarray, per: np.ndarray) -> bytes:
@@ -93,21 +99,21 @@ def _flatten(width: int, buckets: int):
             batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
             data, offs = utf8(batch.column(2))
             parts = [window_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width) for i, j in chunks(offs)]
-            per = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+            per = np.concatenate([np.zeros(0, np.int64), *[p[2] for p in parts]])
             some = per > 0
             if not some.any():
                 continue
-            h, per = np.concatenate([p[0] for p in parts]), per[some]
+            h, stored, per = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), per[some]
             ids, sigs = batch.column(0).to_numpy()[some], batch.column(1).to_numpy()[some]
             docs = _pack_docs(ids, per)
             chunk = xxhash.xxh64_intdigest(docs + sigs.tobytes()) - (1 << 63)
             at = bucket_of(h, buckets)
             order = np.argsort(at, kind="stable")
             cut = np.searchsorted(at[order], np.arange(buckets + 1))
-            low, rows = h[order], [(chunk % buckets, "docs", chunk, docs, sigs.tobytes(), b"")]
+            stored, rows = stored[order], [(chunk % buckets, "docs", chunk, docs, sigs.tobytes(), b"")]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 own = slice(cut[b], cut[b + 1])
-                rows.append((b, "new", chunk, docs, plane(low[own], KEPT), gaps(order[own])))
+                rows.append((b, "new", chunk, docs, plane(stored[own], KEPT), gaps(order[own])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in _FLAT.split(", ")])
 
     return run
