@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def lookup(values: dict | tuple | list, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pitch_class(semitone: Column) -> Column:
     return F.pmod(semitone, F.lit(12))
 

@@ -219,3 +219,8 @@ def _after_empty(order: list[int], empty: dict[int, bool]) -> Iterator[int]:
         seen = seen or not empty[c]
         if seen:
             yield c
+
+
+def pagination(measure_index: Column, usable_width: Column, measure_width: int = 200, margin: int = 60) -> Column:
+    """The system a measure is drawn in: as many measures as fit side by side, at least one."""
+    return F.floor(measure_index / F.greatest(F.lit(1), F.floor((usable_width - margin) / measure_width)))

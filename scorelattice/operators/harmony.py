@@ -151,3 +151,17 @@ def resolve_progression(summaries: DataFrame) -> DataFrame:
     right = F.lead("root").over(Window.partitionBy("score_id").orderBy("measure_index"))
     rows = summaries.select("score_id", "measure_index", "root", "quality", "absolute", "confidence", "alternatives", "fifths", right.alias("right"))
     return folds.by_key(rows, ["score_id"], ["measure_index"], fold, _PROGRESSION)
+
+
+def chord_row(runs: DataFrame, summaries: DataFrame, div: Column) -> DataFrame:
+    """score_id, row: the chord line of a score, a cell for each measure: the first chord's degree, then names with lengths.
+
+    runs: segments with name and units; summaries: score_id, measure_index, relative (null without a chord).
+    """
+    from scorelattice.operators.durations import segment_letters
+
+    shown = F.coalesce("name", F.lit("?"))
+    words = F.array_join(F.transform(segment_letters(F.col("units"), div), lambda x: F.concat(shown, F.lit("_"), x)), " ")
+    cells = runs.withColumn("words", words).groupBy(*MEASURE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "words"))), lambda x: x["words"]), " ").alias("words"))
+    prefixed = cells.join(summaries.select(*MEASURE, "relative"), list(MEASURE), "left").withColumn("cell", F.concat(F.coalesce(F.concat("relative", F.lit("/ ")), F.lit("")), "words"))
+    return prefixed.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("measure_index", "cell"))).alias("cs")).select("score_id", F.concat(F.lit("[C]| "), F.array_join(F.transform("cs", lambda c: c["cell"]), " | "), F.lit(" |")).alias("row"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.functions.pitch import absolute, clamped_alter, dotted, half_up, letter_fifths, lookup, units_of
+from scorelattice.functions.pitch import absolute, clamped_alter, dotted, half_up, let, letter_fifths, lookup, units_of
 
 # --- the pieces -----------------------------------------------------------
 
@@ -76,35 +76,58 @@ def _last(text: Column, pattern: str) -> Column:
 
 def header(source: Column) -> Column:
     """struct of the header's fields, defaults where it has none, and an error where it is wrong."""
-    inner = F.regexp_extract(source, HEADER, 1)
-    has = source.rlike(HEADER) & inner.rlike(IS_HEADER)
-    # long parts (KEY:value) and short ones, apart
-    long_of = lambda key: _last(inner, rf"(?:^|\s)(?i:{key}):(\S*)")
+    inner = F.when(source.rlike(HEADER), F.regexp_extract(source, HEADER, 1))
+    given = let(inner, lambda i: F.when(i.rlike(IS_HEADER), i))
+    return let(given, lambda i: let(_header_texts(i), lambda t: let(_header_values(t), lambda v: F.struct(*[v[k].alias(k) for k in (*_DEFAULTS, "error")], i.isNotNull().alias("given")))))
+
+
+_DEFAULTS = {"clef": "TREBLE", "time_num": 4, "time_den": 4, "key_fifths": 0, "div": 64, "transpose": 0}
+
+
+def _header_texts(inner: Column) -> Column:
+    """The texts of a header's parts, long (KEY:value) and short ones; null where it has none."""
+    long_of = lambda key: _last(inner, rf"(?:^|\s)(?i:{key}):(\S*)").alias(key.lower())
     short = F.concat(F.lit(" "), F.regexp_replace(inner, r"\S*:\S*", " "), F.lit(" "))
-    short_key = _last(short, r"K([A-G][#b]?m?)")
-    key_text = long_of("KEY")
-    key_number = F.regexp_extract(key_text, r"^\s*([+-]?\d+)", 1).try_cast("int")
-    key_letter = lambda t: letter_fifths(F.substring(t, 1, 1), F.regexp_extract(t, r"^.([#b♭])", 1), t.rlike(r"^.[#b♭]?m(in)?$"))
-    long_key = F.when(key_number.isNotNull(), key_number).otherwise(key_letter(key_text))
-    time = F.coalesce(_last(short, r"(\d+/\d+)"), F.when(long_of("TIME").rlike(r"^\d+/\d+$"), long_of("TIME")), F.lit("4/4"))
-    num, den = F.split_part(time, F.lit("/"), F.lit(1)).cast("int"), F.split_part(time, F.lit("/"), F.lit(2)).cast("int")
-    div = F.coalesce(_last(short, r"(?i)D(?:IV?)?(\d+)").cast("int"), F.regexp_extract(long_of("DIV"), r"^(\d+)", 1).try_cast("int"), F.lit(64))
-    short_clef = _last(F.regexp_replace(short, r"(?i)D(?:IV?)?\d+|K[A-G][#b]?m?|K[+-]\d+", " "), r"(Treble|Bass|Alto|Tenor|Percussion|Soprano|Baritone|Te|Al|Pe|So|Br|T|B|A|N)")
-    clef_name = F.regexp_replace(F.upper(long_of("CLEF")), r"[-\s]", "_")
-    clef = F.coalesce(lookup(CLEFS, F.upper(short_clef)), F.when(F.length(clef_name) > 2, lookup(CLEFS, clef_name)), F.lit("TREBLE"))
-    fifths = F.coalesce(F.when(short_key.isNotNull(), key_letter(short_key)), long_key, F.lit(0))
-    transpose = F.coalesce(_last(short, r"K([+-]\d+)").cast("int"), F.lit(0))
-    upm = num * div / F.nullif(den, F.lit(0))
-    wrong = (
-        F.when(long_of("CLEF").isNotNull() & (lookup(CLEFS, clef_name).isNull() | (F.length(clef_name) <= 2)), "clef")
-        .when(long_of("TIME").isNotNull() & ~long_of("TIME").rlike(r"^\d+/\d+$"), "time")
-        .when(key_text.isNotNull() & key_number.isNull() & ~key_text.rlike(r"^[A-Ga-g][#b♭]?(m|min|maj|major|minor)?$"), "key")
-        .when((div <= 0) | (long_of("DIV").isNotNull() & ~long_of("DIV").rlike(r"^\d")), "div")
-        .when(upm.isNull() | (upm < 1) | (F.abs(upm - half_up(upm)) > 1e-9), "divTime")
+    bare = F.regexp_replace(short, r"(?i)D(?:IV?)?\d+|K[A-G][#b]?m?|K[+-]\d+", " ")
+    return F.struct(
+        *[long_of(k) for k in ("CLEF", "TIME", "KEY", "DIV")],
+        _last(short, r"K([A-G][#b]?m?)").alias("short_key"),
+        _last(short, r"(\d+/\d+)").alias("short_time"),
+        _last(short, r"(?i)D(?:IV?)?(\d+)").alias("short_div"),
+        _last(short, r"K([+-]\d+)").alias("transpose"),
+        _last(bare, r"(Treble|Bass|Alto|Tenor|Percussion|Soprano|Baritone|Te|Al|Pe|So|Br|T|B|A|N)").alias("short_clef"),
     )
-    fields = {"clef": clef, "time_num": num, "time_den": den, "key_fifths": fifths.cast("int"), "div": div, "transpose": transpose}
-    default = {"clef": "TREBLE", "time_num": 4, "time_den": 4, "key_fifths": 0, "div": 64, "transpose": 0}
-    return F.struct(*[F.when(has, v).otherwise(F.lit(default[k])).alias(k) for k, v in fields.items()], F.when(has, wrong).alias("error"), has.alias("given"))
+
+
+def _header_values(t: Column) -> Column:
+    """The values of those texts, and what is wrong with them."""
+    of_letter = lambda k: letter_fifths(F.substring(k, 1, 1), F.regexp_extract(k, r"^.([#b♭])", 1), k.rlike(r"^.[#b♭]?m(in)?$"))
+    number = F.regexp_extract(t["key"], r"^\s*([+-]?\d+)", 1).try_cast("int")
+    fifths = F.coalesce(F.when(t["short_key"].isNotNull(), of_letter(t["short_key"])), number, of_letter(t["key"]), F.lit(0))
+    time = F.coalesce(t["short_time"], F.when(t["time"].rlike(r"^\d+/\d+$"), t["time"]), F.lit("4/4"))
+    div = F.coalesce(t["short_div"].cast("int"), F.regexp_extract(t["div"], r"^(\d+)", 1).try_cast("int"), F.lit(64))
+    name = F.regexp_replace(F.upper(t["clef"]), r"[-\s]", "_")
+    long_clef = F.when(F.length(name) > 2, lookup(CLEFS, name))
+    fields = F.struct(
+        F.coalesce(lookup(CLEFS, F.upper(t["short_clef"])), long_clef, F.lit("TREBLE")).alias("clef"),
+        F.split_part(time, F.lit("/"), F.lit(1)).cast("int").alias("time_num"),
+        F.split_part(time, F.lit("/"), F.lit(2)).cast("int").alias("time_den"),
+        fifths.cast("int").alias("key_fifths"),
+        div.alias("div"),
+        F.coalesce(t["transpose"].cast("int"), F.lit(0)).alias("transpose"),
+        F.when(t["clef"].isNotNull() & long_clef.isNull(), "clef")
+        .when(t["time"].isNotNull() & ~t["time"].rlike(r"^\d+/\d+$"), "time")
+        .when(t["key"].isNotNull() & number.isNull() & ~t["key"].rlike(r"^[A-Ga-g][#b♭]?(m|min|maj|major|minor)?$"), "key")
+        .when(t["div"].isNotNull() & ~t["div"].rlike(r"^\d"), "div")
+        .alias("wrong"),
+    )
+
+    def checked(f: Column) -> Column:
+        upm = f["time_num"] * f["div"] / F.nullif(f["time_den"], F.lit(0))
+        fits = F.when(f["div"] <= 0, "div").when(upm.isNull() | (upm < 1) | (F.abs(upm - half_up(upm)) > 1e-9), "divTime")
+        return F.struct(*[f[k].alias(k) for k in _DEFAULTS], F.coalesce(f["wrong"], fits).alias("error"))
+
+    return let(fields, checked)
 
 
 def body_start(source: Column) -> Column:
@@ -177,27 +200,23 @@ METAS = (
 )
 
 
-def meta_type(inner: Column) -> Column:
+def meta(inner: Column) -> Column:
+    """struct(type, value) of the inside of a command; type error if it is none."""
     out = None
-    for kind, pattern, _ in METAS:
-        test = inner.rlike(pattern)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("error")
-
-
-def meta_value(inner: Column) -> Column:
-    out = None
-    for _, pattern, group in METAS:
-        test, value = inner.rlike(pattern), F.regexp_extract(inner, pattern, group)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    for kind, pattern, group in METAS:
+        test, found = inner.rlike(pattern), F.struct(F.lit(kind).alias("type"), F.regexp_extract(inner, pattern, group).alias("value"))
+        out = F.when(test, found) if out is None else out.when(test, found)
+    return out.otherwise(F.struct(F.lit("error").alias("type"), F.lit(None).cast("string").alias("value")))
 
 
 ATTRIBUTES = ("units", "dots", "pitches", "marks", "head", "grace", "slur_start", "barline", "repeat_count", "tuplet_units", "lyric", "meta_type", "meta_value", "part_label", "instrument", "clef", "error")
 
 
 def pieces(scores: DataFrame) -> DataFrame:
-    """score_id, div, raw, offset of every piece of the body, spaces and comments too."""
+    """score_id, div, piece, kind, raw, offset of every piece of the body, spaces and comments too.
+
+    Kinds are decided before the pieces become rows, so that later projections don't repeat the patterns.
+    """
     cut = scores.select("score_id", header(F.col("source")).alias("header"), body_start(F.col("source")).alias("start"), F.col("source"))
     body = F.expr("substring(source, start + 1)")
     found = cut.select("score_id", F.col("header.div").alias("div"), "start", F.regexp_extract_all(body, F.lit(MASTER), F.lit(0)).alias("raws"))
@@ -205,12 +224,14 @@ def pieces(scores: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     add = lambda acc, r: F.struct((acc["at"] + F.length(r)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
     offsets = F.aggregate("raws", zero, add, lambda acc: acc["out"])
-    return found.select("score_id", "div", "start", F.posexplode(F.arrays_zip(F.col("raws").alias("raw"), offsets.alias("at"))).alias("piece", "p")).select("score_id", "div", "piece", F.col("p.raw").alias("raw"), (F.col("start") + F.col("p.at")).alias("offset"))
+    each = F.transform(F.arrays_zip(F.col("raws").alias("raw"), offsets.alias("at")), lambda p: F.struct(p["raw"].alias("raw"), p["at"].alias("at"), _kind(p["raw"]).alias("kind")))
+    rows = found.select("score_id", "div", "start", F.posexplode(each).alias("piece", "p"))
+    return rows.select("score_id", "div", "piece", F.col("p.kind").alias("kind"), F.col("p.raw").alias("raw"), (F.col("start") + F.col("p.at")).alias("offset"))
 
 
 def tokens(scores: DataFrame) -> DataFrame:
     """Token rows of each score. tok_idx grows along the text and isn't dense: it counts pieces."""
-    rows = pieces(scores).withColumn("kind", _kind(F.col("raw"))).where(~F.col("kind").isin("space", "comment"))
+    rows = pieces(scores).where(~F.col("kind").isin("space", "comment"))
     raw, kind = F.col("raw"), F.col("kind")
     is_note, is_meta = kind == "note", kind == "meta"
     inner = F.regexp_extract(raw, r"^\[([\s\S]*)\]$", 1)
@@ -232,10 +253,9 @@ def tokens(scores: DataFrame) -> DataFrame:
         "repeat_count": F.when(kind == "repeatBoundary", F.substring(raw, 2, 20).try_cast("int")),
         "tuplet_units": F.when(kind == "tupletOpen", F.regexp_extract(raw, r"^([0-9]+)", 1).try_cast("int")),
         "lyric": F.when(kind == "lyric", F.when((F.length(raw) > 1) & raw.startswith("'"), F.expr("substring(raw, 2)")).otherwise(raw)),
-        "meta_type": F.when(is_meta, meta_type(own)),
-        "meta_value": F.when(is_meta, meta_value(own)),
+        "meta": F.get(F.transform(F.when(is_meta, F.array(inner)), meta), F.lit(0)),
     }
-    out = rows.withColumns(values)
+    out = rows.withColumns(values).withColumns({"meta_type": F.col("meta.type"), "meta_value": F.col("meta.value")})
     switch = F.col("meta_type") == "partSwitch"
     clef_text = F.when(F.col("meta_type") == "clefChange", F.trim(own)).when(switch, F.trim(F.regexp_extract(label_rest, r"^([^:]*)", 1)))
     return out.withColumns(

@@ -5,11 +5,14 @@ All of it is window logic within a score; tokens keep their order in tok_idx.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from scorelattice.operators import grid
+from scorelattice.operators import folds, grid
 
 
 def _to_here() -> WindowSpec:
@@ -98,8 +101,9 @@ def with_parts(tokens: DataFrame, order: str = "tok_idx", default: str = "M") ->
     before = Window.partitionBy("score_id").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     label = F.coalesce(F.last("part_label", ignorenulls=True).over(before), F.lit(default))
     seen = tokens.withColumn("part", label)
-    first = F.min(order).over(Window.partitionBy("score_id", "part"))
-    numbered = seen.withColumn("_first", first)
+    own = Window.partitionBy("score_id", "part")
+    # what the naming tokens say of a part stays with its tokens
+    numbered = seen.withColumns({"_first": F.min(order).over(own), "instrument": F.max_by("instrument", F.when(F.col("instrument").isNotNull(), F.col(order))).over(own)})
     numbered = numbered.withColumn("part_idx", (F.dense_rank().over(Window.partitionBy("score_id").orderBy("_first")) - 1).cast("long"))
     return numbered.where("part_label is null").drop("_first")
 
@@ -156,14 +160,74 @@ def cell_marks(celled: DataFrame) -> DataFrame:
     return sums
 
 
-def grid_cells(tokens: DataFrame) -> DataFrame:
-    """Tokens by part and measure after repeats of barlines: the columns of with_cells and measure_index."""
-    celled = with_cells(without_preamble(with_parts(tokens)))
+def grid_cells(tokens: DataFrame, max_depth: int = 4) -> DataFrame:
+    """Tokens by part and measure, repeats of both notations played out: the columns of with_cells and measure_index.
+
+    tok_idx counts played tokens; source_idx is the token's own place.
+    """
+    flat = flattened_repeats(tokens, max_depth).withColumn("source_idx", F.col("tok_idx")).withColumn("tok_idx", F.col("play_idx")).drop("play_idx")
+    celled = with_cells(without_preamble(with_parts(flat)))
     played = grid.expand_barline_repeats(cell_marks(celled))
-    own = celled.where("separator is null")
+    own = celled.where("separator is null and coalesce(barline, '') <> 'repeatStart'")
     return played.join(own, ["score_id", "part_idx", "cell_index"], "left").withColumnRenamed("out_index", "measure_index")
 
 
+def cell_errors(tokens: DataFrame) -> DataFrame:
+    """Cells whose repeats or tuplets don't close within the cell: kind cellParseError."""
+    celled = with_cells(without_preamble(with_parts(tokens)))
+    is_repeat = F.col("kind") == "repeatBoundary"
+    sums = celled.groupBy("score_id", "part", "part_idx", "cell_index").agg(F.sum(F.when(is_repeat & F.col("repeat_count").isNull(), 1).when(is_repeat, -1).otherwise(0)).alias("repeats"), F.sum(F.when(F.col("kind") == "tupletOpen", 1).when(F.col("kind") == "tupletClose", -1).otherwise(0)).alias("tuplets"))
+    return sums.where("repeats <> 0 or tuplets > 0").select(F.lit("cellParseError").alias("kind"), "score_id", "part", "part_idx", "cell_index")
+
+
+_SPLIT = "score_id long, part_idx long, tok_idx int, old_measure long, measure_index long, start long"
+
+
+def split_long_cells(cells: DataFrame, units_per_measure: DataFrame) -> DataFrame:
+    """Cells longer than a measure are cut at measure lengths; tuplets stay whole. Adds start, the place in the new cell.
+
+    units_per_measure: score_id, upm. A fold along one part.
+    """
+    rows = with_tuplet_units(cells).join(units_per_measure, "score_id")
+    rows = rows.withColumn("adds", attached_units(rows)).withColumn("sounds", F.coalesce("played_units", "adds"))
+
+    def cut(part: list) -> Iterator[tuple]:
+        out = 0
+        for _, own in groupby(part, key=lambda r: r.measure_index):
+            cell = list(own)
+            long = sum(r.adds or 0 for r in cell) > cell[0].upm > 0
+            used = at = 0
+            for r in cell:
+                adds = r.adds or 0
+                if long and adds > 0 and used > 0 and used + adds > r.upm:
+                    out, used, at = out + 1, 0, 0
+                if r.tok_idx is not None:
+                    yield r.score_id, r.part_idx, r.tok_idx, r.measure_index, out, at
+                at += r.sounds or 0
+                used += adds
+                inside = r.in_tuplet or r.kind == "tupletOpen"
+                if long and used >= r.upm and not inside:
+                    out, used, at = out + 1, 0, 0
+                elif long and r.kind == "tupletClose" and used >= r.upm:
+                    out, used, at = out + 1, 0, 0
+            if not (long and used == 0):
+                out += 1
+
+    found = folds.by_key(rows.select("score_id", "part_idx", "measure_index", "tok_idx", "kind", "adds", "sounds", "upm", F.col("tuplet").isNotNull().alias("in_tuplet")), ["score_id", "part_idx"], ["measure_index", "tok_idx"], cut, _SPLIT)
+    return cells.withColumnRenamed("measure_index", "old_measure").join(found, ["score_id", "part_idx", "tok_idx", "old_measure"])
+
+
+def with_tuplet_units(tokens: DataFrame) -> DataFrame:
+    """played_units of tuplet members: their written units scaled to the group's, rounded; null elsewhere."""
+    w = Window.partitionBy("score_id", "part_idx", "measure_index", "tuplet")
+    written = F.sum(F.when(F.col("kind").isin("note", "rest"), F.col("units"))).over(w)
+    copies = F.count_if(F.col("kind").isin("note", "rest")).over(w) / F.greatest(F.lit(1), F.size(F.collect_set(F.when(F.col("kind").isin("note", "rest"), F.col("source_idx"))).over(w)))
+    scale = F.col("target_units") * copies / F.nullif(written, F.lit(0))
+    inside = F.col("tuplet").isNotNull() & F.col("kind").isin("note", "rest")
+    zero = F.when(F.col("kind").isin("tupletOpen", "tupletClose"), 0)
+    return tokens.withColumn("played_units", F.coalesce(F.when(inside, F.floor(F.col("units") * scale + 0.5)), zero).cast("long"))
+
+
 def attached_units(tokens: DataFrame) -> Column:
     """Units a token adds to its cell: graces nothing, tuplet members their group's units on the opening token."""
     inside = F.col("tuplet").isNotNull() if "tuplet" in tokens.columns else F.lit(False)

@@ -168,7 +168,7 @@ def score_context(responses: DataFrame) -> DataFrame:
         "stavesPerSystem": ~(F.coalesce(c["stavesPerSystem"], F.lit(0)) >= 1),
         "staffRoles": c["staffRoles"].isNull() | (F.size(c["staffRoles"]) != c["stavesPerSystem"]) | F.exists(F.coalesce(c["staffRoles"], F.array()), lambda r: r.isNull() | ~r.isin(*ROLES)),
         "clefsPerStaff": c["clefsPerStaff"].isNull() | (F.size(c["clefsPerStaff"]) != c["stavesPerSystem"]),
-        "initialTimeSignature": c["initialTimeSignature.numerator"].isNull() | (c["initialTimeSignature.numerator"] < 1) | c["initialTimeSignature.denominator"].isNull() | ~c["initialTimeSignature.denominator"].isin(1, 2, 4, 8, 16, 32),
+        "initialTimeSignature": c["initialTimeSignature"]["numerator"].isNull() | (c["initialTimeSignature"]["numerator"] < 1) | c["initialTimeSignature"]["denominator"].isNull() | ~c["initialTimeSignature"]["denominator"].isin(1, 2, 4, 8, 16, 32),
         "initialKeyFifths": ~F.coalesce(c["initialKeyFifths"], F.lit(99)).between(-7, 7),
         "lyricsRows": ~(F.coalesce(c["lyricsRows"], F.lit(-1)) >= 0),
         "totalMeasures": ~(F.coalesce(c["totalMeasures"], F.lit(0)) >= 1),
