@@ -78,19 +78,25 @@ def flattened_repeats(tokens: DataFrame, max_depth: int = 4) -> DataFrame:
     """
     is_start = (F.col("kind") == "repeatBoundary") & F.col("repeat_count").isNull()
     is_end = (F.col("kind") == "repeatBoundary") & F.col("repeat_count").isNotNull()
+    back = Window.partitionBy("score_id").orderBy(F.col("tok_idx").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = range(1, max_depth + 1)
     out = with_groups(tokens).withColumn("_level", F.col("depth") + F.when(is_end, 1).otherwise(0))
-    for k in range(1, max_depth + 1):
-        start = F.last(F.when(is_start & (F.col("_level") == k), F.col("tok_idx")), ignorenulls=True).over(_to_here())
-        out = out.withColumn(f"_g{k}", F.when(F.col("_level") >= k, start))
-        count = F.max(F.when(is_end & (F.col("_level") == k), F.col("repeat_count"))).over(Window.partitionBy("score_id", f"_g{k}"))
-        out = out.withColumn(f"_n{k}", F.when(F.col(f"_g{k}").isNotNull(), F.greatest(F.lit(1), F.coalesce(count, F.lit(1)))).otherwise(1))
+    # for each level the start before a token and the count at the end after it: two sorts, whatever the depth
+    out = out.withColumns({f"_s{k}": F.last(F.when(is_start & (F.col("_level") == k), F.col("tok_idx")), ignorenulls=True).over(_to_here()) for k in levels})
+    out = out.withColumns({f"_e{k}": F.last(F.when(is_end & (F.col("_level") == k), F.col("repeat_count")), ignorenulls=True).over(back) for k in levels})
     out = out.where("kind <> 'repeatBoundary'")
-    order = []
-    for k in range(1, max_depth + 1):
-        out = out.withColumn(f"_p{k}", F.explode(F.sequence(F.lit(1), F.col(f"_n{k}"))))
-        order += [F.coalesce(F.col(f"_g{k}"), F.col("tok_idx")), F.col(f"_p{k}")]
+    inside = {k: F.col("_level") >= k for k in levels}
+    times = {k: F.when(inside[k], F.greatest(F.lit(1), F.coalesce(F.col(f"_e{k}"), F.lit(1)))).otherwise(1) for k in levels}
+    out = out.withColumns({f"_n{k}": times[k] for k in levels} | {f"_g{k}": F.when(inside[k], F.coalesce(f"_s{k}", "tok_idx")).otherwise(F.col("tok_idx")) for k in levels})
+    # one number counts through all combinations of passes, the outermost slowest
+    total, rest = F.lit(1), {}
+    for k in reversed(levels):
+        rest[k] = total
+        total = total * F.col(f"_n{k}")
+    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(0), total - 1)))
+    order = [x for k in levels for x in (F.col(f"_g{k}"), F.floor(F.col("_pass") / rest[k]) % F.col(f"_n{k}"))]
     at = F.row_number().over(Window.partitionBy("score_id").orderBy(*order, "tok_idx")) - 1
-    return out.withColumn("play_idx", at).drop(*[f"_{c}{k}" for c in "gnp" for k in range(1, max_depth + 1)], "_level")
+    return out.withColumn("play_idx", at).drop("_level", "_pass", *[f"_{c}{k}" for c in "sengn" for k in levels])
 
 
 def with_parts(tokens: DataFrame, order: str = "tok_idx", default: str = "M") -> DataFrame:
