@@ -33,7 +33,7 @@ WINDOW = 20
 CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("upper", "^[A-Z0-9]+$", 3.4), ("lower", "^[a-z0-9]+$", 3.4), ("token", "^[A-Za-z0-9+/_=-]+$", 3.7))
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUID
-    r"^[/]?([A-Za-z]+[0-9]{0,4}[/_-]+)+[A-Za-z]*[0-9]{0,4}$",  # words joined by path or name marks, with short numbers
+    r"^[/]?(?:[A-Za-z]+[0-9]{0,4}[/_-]+)++[A-Za-z]*[0-9]{0,4}$",  # words joined by path or name marks, with short numbers
     r"^[A-Za-z]+[0-9]{1,4}$",  # a word and a short number
     r"^[0-9]{1,4}[A-Za-z]+$",
     r"^(.{1,8}?)\1+.{0,8}$",  # one short pattern over and over
