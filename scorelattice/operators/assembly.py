@@ -15,9 +15,9 @@ from scorelattice.operators import folds
 
 HIGH, MID = 0.85, 0.55
 CELL = ["page_id", "system_idx", "staff_idx", "measure_idx"]
-#: Lengths of the assembled text: units at DIV 32.
-_SIGNS = {0: "", 1: "#", 2: "x", -1: "b", -2: "bb"}
+#: Lengths of the assembled text in units at DIV 32, and the signs.
 LETTERS = {"m": 32, "l": 16, "k": 8, "j": 4, "i": 2, "h": 1}
+_SIGNS = {0: "", 1: "#", 2: "x", -1: "b", -2: "bb"}
 
 
 def confidence_bin(confidence: Column, mismatch: Column) -> Column:
@@ -32,8 +32,8 @@ def chord_tolerance(heads: DataFrame) -> DataFrame:
 
 
 def voice_staves(staves: DataFrame) -> DataFrame:
-    """Staves with the role of a voice, numbered from 1; the others are reported by `skipped`. Columns staff_idx, role."""
-    w = Window.partitionBy("page_id").orderBy("staff_idx") if "page_id" in staves.columns else Window.orderBy("staff_idx")
+    """Staves of a page with the role of a voice, numbered from 1; the others are marked `skipped`. Columns page_id, staff_idx, role."""
+    w = Window.partitionBy("page_id").orderBy("staff_idx")
     voice = F.col("role") == "voice"
     return staves.withColumn("label", F.when(voice, F.sum(F.when(voice, 1).otherwise(0)).over(w).cast("string"))).withColumn("skipped", ~voice)
 
@@ -85,9 +85,10 @@ def low_share(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.groupBy("page_id").agg(F.avg((F.col("bin") != "high").cast("double")).alias("share"))
 
 
-def document(cell_rows: DataFrame, header: str) -> DataFrame:
-    """The assembled text: a header and a line for each staff place, cells in reading order."""
+def documents(cell_rows: DataFrame, header: Column) -> DataFrame:
+    """doc_id, source: the assembled text of each document, a header and a line for each staff place, cells in reading order."""
     order = F.struct("page_id", "system_idx", "measure_idx", "text")
-    lines = cell_rows.groupBy("part_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda c: c["text"]), " | ").alias("body"))
-    rows = lines.agg(F.array_sort(F.collect_list(F.struct("part_idx", F.concat(F.lit("["), (F.col("part_idx") + 1).cast("string"), F.lit("]| "), "body", F.lit(" |")).alias("line")))).alias("ls"))
-    return rows.select(F.concat_ws("\n", F.lit(header), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("source"))
+    lines = cell_rows.groupBy("doc_id", "part_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda c: c["text"]), " | ").alias("body"))
+    line = F.concat(F.lit("["), (F.col("part_idx") + 1).cast("string"), F.lit("]| "), "body", F.lit(" |")).alias("line")
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_idx", line))).alias("ls"))
+    return rows.select("doc_id", F.concat_ws("\n", F.nullif(header, F.lit("")), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("source"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelattice.functions.pitch import absolute, clamped_alter, dotted, half_up, let, letter_fifths, lookup, units_of
 
-# --- the pieces -----------------------------------------------------------
+# --- the pieces (fixed values: the notation's own patterns) ----------------
 
 _PITCH = r"[A-Ga-g](?:\*[0-9]|(?:bb|[#bx])?+[0-9](?:bb|b(?![0-9])|[#*x])?+)(?:![dx/t])?+"
 _LENGTH = r"(?:[h-nH-N]|[gG](?![0-9#bx*A-Ga-g]))"
@@ -165,7 +165,7 @@ def _suffixes(raw: Column) -> Column:
 
 # --- meta commands --------------------------------------------------------
 
-#: Type, pattern of the inside, and the value (a group of the pattern, or a constant), in order.
+#: Type of a command, pattern of its inside, and the group that is its value; the first that matches.
 METAS = (
     ("clefChange", r"^\s*(?i:T-8|T8|Te|Pe|So|Br|T|B|A|N)\s*$", 0),
     ("partSwitch", r"^(\d+)(?::[\s\S]+|:|\s*(?i:T-8|T8|Te|Pe|So|Br|T|B|A|N)\s*(?::[\s\S]*)?)$", 1),

@@ -151,6 +151,7 @@ def issue_kinds(issues: DataFrame, key: str) -> DataFrame:
     return issues.groupBy(key).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+#: The fields of a score's structure and the roles of staves.
 CONTEXT_SCHEMA = "voicePartsCount int, hasPiano boolean, hasPercussion boolean, stavesPerSystem int, staffRoles array<string>, clefsPerStaff array<string>, initialTimeSignature struct<numerator:int,denominator:int>, initialKeyFifths int, lyricsRows int, totalMeasures int, title string, composer string, tempo string, timeChanges array<struct<measure:int,numerator:int,denominator:int>>, keyChanges array<struct<measure:int,fifths:int>>, notes array<string>"
 ROLES = ("voice", "piano-rh", "piano-lh", "percussion", "other")
 

@@ -113,8 +113,8 @@ def cell_boxes(barlines: DataFrame, staff_rows: DataFrame) -> DataFrame:
 
 
 def reading_order(cells: DataFrame) -> DataFrame:
-    """Global measure index of each cell along its staff place: page, system, measure."""
-    w = Window.partitionBy("part_idx").orderBy("page_id", "system_idx", "measure_idx")
+    """Global measure index of each cell along its staff place in its document: page, system, measure."""
+    w = Window.partitionBy("doc_id", "part_idx").orderBy("page_id", "system_idx", "measure_idx")
     return cells.withColumn("global_measure", (F.row_number().over(w) - 1).cast("long"))
 
 

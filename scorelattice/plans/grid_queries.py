@@ -144,8 +144,7 @@ def grid_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duration_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written lengths of every sounding length in the table, at three divisions."""
     units = notes(spark, sf_dir).select((F.col("units") * 3 + F.col("seq")).alias("units")).distinct()
-    divs = spark.createDataFrame([(16,), (64,), (96,)], "div int")
-    return durations.decompose(units.crossJoin(F.broadcast(divs)))
+    return durations.decompose(units.withColumn("div", F.explode(F.array(F.lit(16), F.lit(64), F.lit(96)))))
 
 
 @query(f"""WITH {NOTES_SQL},

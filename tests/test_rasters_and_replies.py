@@ -131,3 +131,23 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("[1]| C4m |\n[2]| E4m |\n[3]| G4m |")
     ingest.label_stream(ingest.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r["symbol"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Cmaj"]
+
+
+def test_cells_are_cut_from_pages(spark):
+    page = np.zeros((60, 80), int)
+    page[30:34, 20:26] = 1
+    pages = noteheads.page_ink(pixels(spark, page, "ink"))
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 10.0, 30.0, 30.0, 5.0)], "page_id long, system_idx long, staff_idx long, measure_idx long, x double, y double, w double, h double")
+    staff_rows = spark.createDataFrame([(1, 0, 0, [30.0, 31.0, 32.0, 33.0, 34.0], 2.0, "TREBLE", 0)], "page_id long, system_idx long, staff_idx long, line_ys array<double>, line_spacing double, clef string, fifths int")
+    c = noteheads.cut_cells(pages, boxes, staff_rows).first()
+    assert (c["ink_w"], c["ink_h"], c["ink_x"], c["ink_y"]) == (30, 21, 10, 22)
+    assert np.frombuffer(c["ink"], np.uint8).sum() == 24
+
+
+def test_documents_are_put_together(spark):
+    rows = [("d", 0, 1, 0, 1, "D4m"), ("d", 0, 1, 0, 0, "C4m"), ("d", 1, 1, 0, 0, "E4m"), ("e", 0, 9, 0, 0, "Rm")]
+    cells = spark.createDataFrame(rows, "doc_id string, part_idx int, page_id long, system_idx long, measure_idx long, text string")
+    out = {r["doc_id"]: r["source"] for r in assembly.documents(cells, F.lit("[KEY:G]")).collect()}
+    assert out == {"d": "[KEY:G]\n[1]| C4m | D4m |\n[2]| E4m |", "e": "[KEY:G]\n[1]| Rm |"}
+    order = {(r["text"]): r["global_measure"] for r in raster.reading_order(cells).collect()}
+    assert order == {"C4m": 0, "D4m": 1, "E4m": 0, "Rm": 0}
