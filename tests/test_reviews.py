@@ -11,7 +11,7 @@ GOOD = "[1]| C5m | D5m |\n[2]| E4m | F4m |\n[3]| G4m | A4m |"
 
 
 def test_analysis_counts(spark):
-    rows = {r["score_id"]: r for r in reviews.analysis(scores(spark, GOOD, "[1]| C5m | [Dzz] D5l |\n[2]| C4m |")).collect()}
+    rows = {r["score_id"]: r for r in reviews.analysis(reviews.Analysed(scores(spark, GOOD, "[1]| C5m | [Dzz] D5l |\n[2]| C4m |"))).collect()}
     assert (rows[0]["n_measures"], rows[0]["n_chords"], rows[0]["kinds"]) == (2, 2, [])
     assert rows[1]["kinds"] == ["measureCountMismatch", "measureDurationMismatch", "parseError"]
 
