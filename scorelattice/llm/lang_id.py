@@ -27,6 +27,12 @@ from scorelattice.llm.common import crc_bucket, map_batches
 PROFILE = 400
 #: Bound on what is fitted: about so many training documents a language.
 TRAIN_DOCS = 400
+#: Words of the excerpts that show how texts of each length score.
+EXCERPTS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: A text is in no known language if it scores below this share of what this quantile of training texts of its length reaches.
+FLOOR_QUANTILE, FLOOR_SHARE = 0.001, 0.9
+#: Fewer training scores of a length also count those of the lengths beside it.
+FLOOR_SCORES = 500
 UNDETERMINED = "und"
 _EDGE = np.int64(0x20)
 _letters: list[np.ndarray] = []
@@ -86,9 +92,13 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); the score is how far below the greatest possible distance the best one lies."""
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int]:
+        """(language, score, length class); the class is the number of bits of the count of n-grams."""
         found = gram_counts(text)
         if found is None or not self.langs:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         own = ranked(*found, self.size)
         at = np.searchsorted(self.codes, own)
         known = at < len(self.codes)
@@ -97,7 +107,18 @@ class Profiles:
         place = np.arange(len(own))[:, None]
         distance = np.where(ranks < 0, self.size, np.abs(ranks - place)).sum(axis=0)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (len(own) * self.size))
+        return self.langs[best], float(1 - distance[best] / (len(own) * self.size)), int(found[1].sum()).bit_length()
+
+
+def _sample(docs: DataFrame, bucket: int, per_language: int) -> DataFrame | None:
+    """lang, text of the training rows, or None if there are none."""
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id")) != bucket))
+    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, per_language / n))])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / float(1 << 20)
+    return usable.where(draw < share[F.col("lang")]).select("lang", "text")
 
 
 def train(docs: DataFrame, bucket: int = 0, per_language: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
@@ -105,13 +126,9 @@ def train(docs: DataFrame, bucket: int = 0, per_language: int = TRAIN_DOCS, size
 
     At most about `per_language` documents of each language are read, chosen by a hash of the id.
     """
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id")) != bucket))
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not totals:
+    sample = _sample(docs, bucket, per_language)
+    if sample is None:
         return Profiles({}, size)
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
@@ -141,14 +158,48 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
-    """The rows of docs whose language is determined with at least that score, unchanged."""
+def floors(docs: DataFrame, profiles: Profiles, bucket: int = 0, per_language: int = TRAIN_DOCS) -> np.ndarray:
+    """The least score of a text in a known language, by length class, from training rows and their first words.
+
+    Short texts score lower than long ones, in a known language and out of one, so that each length has a floor of its own.
+    """
+    sample = _sample(docs, bucket, per_language)
+    if sample is None:
+        return np.zeros(64)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                words = text.split(None, EXCERPTS[-1])
+                found += [profiles.measured(x) for x in (text, *[" ".join(words[:n]) for n in EXCERPTS if n < len(words)])]
+            found = [x for x in found if x[0] != UNDETERMINED]
+            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["length", "score"])
+
+    scores = map_batches(sample.select("text"), measure, "length int, score double")
+    low = {r["length"]: (r["low"], r["n"]) for r in scores.groupBy("length").agg(F.percentile_approx("score", FLOOR_QUANTILE, 10_000).alias("low"), F.count("*").alias("n")).collect()}
+    out = np.zeros(64)
+    for at in range(64) if low else ():
+        # outwards from the length, until there are scores enough
+        near, n = [], 0
+        for away in range(64):
+            own = [low[k] for k in {at - away, at + away} if k in low]
+            near += [x for x, _ in own]
+            n += sum(m for _, m in own)
+            if n >= FLOOR_SCORES:
+                break
+        out[at] = FLOOR_SHARE * min(near)
+    return out
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, least: np.ndarray) -> DataFrame:
+    """The rows of docs whose language is determined with at least the score of their length class, unchanged."""
     at = docs.columns.index("text")
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in found], pa.bool_()))
+            found = [profiles.measured(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least[x[2]] for x in found], pa.bool_()))
 
     return map_batches(docs, known, docs.schema)
 

@@ -295,3 +295,17 @@ def test_pipeline_stages_take_effect(spark, documents, prose, tmp_path):
     assert sorted(r["doc_id"] for r in mixed.collect()) == seen[3]
     empty = kept.limit(0)
     assert all(stage(spark, empty, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_language_stage_drops_noise_and_unlearned_languages(spark, documents):
+    import corpus_pipeline
+
+    learned = {"en": "the and of to that with from which this there where when would could should", "fr": "le la les des une dans avec pour être était où très même après déjà leçon"}
+    polish = "się nie jest że przez który może oraz wszystko został gdzie każdy właśnie między szczególnie dzień"
+    rnd = random.Random(9)
+    text = lambda words, n: " ".join(rnd.choice(words.split()) for _ in range(n))
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    rows = [(i, text(learned["en" if i % 2 else "fr"], rnd.choice([4, 20, 100])), "en" if i % 2 else "fr") for i in range(120)]
+    bad = [(1000 + k, noise(n)) for k, n in enumerate([20, 20, 100, 100, 1000, 5000])] + [(2000 + k, text(polish, n)) for k, n in enumerate([20, 100, 1000])]
+    kept = corpus_pipeline.identify_language(spark, documents(rows + bad), "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(120))
