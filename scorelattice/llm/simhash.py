@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelattice.llm.common import NO_ID, map_batches, order_key, written
 from scorelattice.llm.components import components
@@ -214,3 +215,31 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     out = marked.join(written(named, "simhash-named"), F.col("fp") == F.col("class_fp"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("order_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component_id").alias("component_id"))
+
+
+def kept_rows(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """docs less near duplicates: of each component of linked fingerprints the row with the smallest id, then content.
+
+    Components run over fingerprints, so that rows with the same id, or without one, only meet through their texts.
+    """
+    # a null has no hash of its own, so which columns are null counts too
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["kept_id", "kept_row", "fp"])
+
+    rows = docs.select(order_key(F.col("doc_id")).alias("kept_id"), row.alias("kept_row"), "text")
+    marked = written(map_batches(rows, run, "kept_id long, kept_row long, fp long"), "simhash-rows")
+    # of each fingerprint its first row, and how many rows are just like it
+    alike = marked.groupBy("fp", "kept_id", "kept_row").agg(F.count("*").alias("n"))
+    classes = written(alike.groupBy("fp").agg(F.min(F.struct("kept_id", "kept_row", "n")).alias("first")), "simhash-classes")
+    groups = components(fingerprint_links(classes.select("fp", F.col("fp").alias("id")), limit))
+    grouped = classes.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+    first = written(grouped.select("first.*"), "simhash-kept")
+    kept = docs.withColumns({"_kept_id": order_key(F.col("doc_id")), "_kept_row": row})
+    kept = kept.join(first, (F.col("_kept_id") == first.kept_id) & (F.col("_kept_row") == first.kept_row)).drop("kept_id", "kept_row")
+    # rows alike in every column: one of them
+    many = kept.where("n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_kept_id", "_kept_row").orderBy("_kept_id"))).where("_at = 1").drop("_at")
+    return kept.where("n = 1").unionByName(many).select(*docs.columns)

@@ -309,3 +309,15 @@ def test_language_stage_drops_noise_and_unlearned_languages(spark, documents):
     bad = [(1000 + k, noise(n)) for k, n in enumerate([20, 20, 100, 100, 1000, 5000])] + [(2000 + k, text(polish, n)) for k, n in enumerate([20, 100, 1000])]
     kept = corpus_pipeline.identify_language(spark, documents(rows + bad), "")
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(120))
+
+
+def test_near_duplicate_stage_keeps_rows_of_other_groups(spark, documents, prose):
+    import corpus_pipeline
+
+    text = [prose(200 + k, 120) for k in range(9)]
+    copies = [(3, text[0]), (5, text[0]), (8, text[5]), (7, text[6]), (7, text[6])]
+    # rows without an id, and rows that share one: some copies of others, some with texts of their own
+    loose = [(None, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[5]), (5, text[4]), (9, text[7]), (9, text[8])]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(copies + loose), "")
+    got = sorted((r["doc_id"] or 0, text.index(r["text"])) for r in out.collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (3, 0), (5, 4), (7, 6), (8, 5), (9, 7), (9, 8)]
