@@ -6,13 +6,19 @@ the masks; equal hashes are hits. Around a hit the two word sequences are laid o
 the longest stretch with few enough substitutions is measured. An overlap counts if it is long
 enough, or covers most of a short item.
 
+The masks leave no accepted stretch out. A stretch of L words has at most k = L // 5 substitutions and
+so L - k equal words in at most k + 1 runs; both its ends are equal. From L >= 4k + 4 on, one run has
+four words, which the first mask finds. That leaves L = 5, 6, 7, 10, 11 and 15. At 10, 11 and 15
+there are three runs or more unless one has four words, and two neighbouring runs (one place apart)
+have at least 3 and 1, or 1 and 3 words; at 6 and 7 likewise; at 5 also 2 and 2, and at 6 2 and 3.
+
 Words are compared without case and outer punctuation. The test items are cut into parts of bounded
 size; each part is broadcast and scanned for over all documents, so a growing benchmark costs more
 passes and never more memory.
 
-Edge cases: null texts and texts without words have no overlap; items of fewer words than the
-shortest seed are matched as a whole if they have SHORTEST words at least, else never; repeated rows
-and items are judged each; extra columns are ignored by overlaps() and kept by clean().
+Edge cases: null texts and texts without words have no overlap; items of fewer than SHORTEST words
+never match; repeated rows and items are judged each; extra columns are ignored by overlaps() and kept
+by clean().
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from pyspark.sql import functions as F
 
 from scorelattice.llm.common import SEPARATOR, chunks, fold, map_batches, utf8, word_bounds, word_hashes
 
-#: Positions of a seed that count. Nine of thirteen words, eight of eleven, and six words in a row.
-SEEDS = ((0, 1, 2, 4, 6, 7, 9, 11, 12), (0, 1, 3, 4, 5, 8, 9, 10), (0, 1, 2, 3, 4, 5))
+#: Positions of a seed that count.
+SEEDS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 3, 4))
 #: An overlap has at least so many words, of which at least this share is equal.
 LEAST_WORDS, LEAST_EQUAL = 13, 0.8
 #: ... or this share of all words of the item.
@@ -38,6 +44,8 @@ LEAST_COVER = 0.8
 SHORTEST = 5
 #: Items of one broadcast part.
 PART_ITEMS = 20_000
+#: Words compared in one go around hits.
+COMPARED = 1 << 20
 _EDGE_MARKS = np.zeros(256, bool)
 _EDGE_MARKS[list(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")] = True
 
@@ -63,16 +71,13 @@ class Items:
         self.words, self.first = folded_words(*utf8(pc.utf8_lower(pa.array(texts, pa.large_string()))))
         self.ids = np.array(ids, np.int64)
         self.n = np.diff(self.first)
+        # words of an overlap at least
+        self.need = np.minimum(LEAST_WORDS, np.maximum(SHORTEST, np.ceil(LEAST_COVER * self.n).astype(np.int64)))
         self.hashes, self.places = [], []
         for seed in SEEDS:
             span = seed[-1] + 1
-            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(f, f + n - span + 1) for f, n in zip(self.first, self.n, strict=False) if n >= span]])
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(f, f + n - span + 1) for f, n in zip(self.first, self.n, strict=False) if n >= SHORTEST]])
             self._add(fold(self.words, seed, len(self.words) - span + 1)[at] if len(at) else np.zeros(0, np.uint64), at)
-        # items too short for the last seed: their whole sequence, by length
-        self.short: list[int] = sorted({int(n) for n in self.n if SHORTEST <= n <= SEEDS[-1][-1]})
-        for n in self.short:
-            at = self.first[:-1][self.n == n]
-            self._add(fold(self.words, range(n), len(self.words) - n + 1)[at], at)
         self.doc_of_word = np.repeat(np.arange(len(self.n)), self.n)
 
     def _add(self, hashes: np.ndarray, places: np.ndarray) -> None:
@@ -106,36 +111,59 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def _overlaps(items: Items, tables: list[np.ndarray], words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, first word, end) of the accepted overlaps of a chunk of documents."""
-    out: dict[tuple[int, int, int], tuple[int, int]] = {}
-    doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    tried: set[tuple[int, int, int]] = set()
-    patterns = [*SEEDS, *[tuple(range(n)) for n in items.short]]
-    for seed, hashes, places, table in zip(patterns, items.hashes, items.places, tables, strict=True):
+def _hits(items: Items, tables: list[np.ndarray], words: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word of the documents, word of the items) of equal seeds, a part at a time."""
+    for seed, hashes, places, table in zip(SEEDS, items.hashes, items.places, tables, strict=True):
         span = seed[-1] + 1
         if len(words) < span or not len(hashes):
             continue
         h = fold(words, seed, len(words) - span + 1)
         at = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
         at = at[doc_of[at] == doc_of[at + span - 1]]
-        lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-        for i in np.flatnonzero(hi > lo).tolist():
-            w, d = int(at[i]), int(doc_of[at[i]])
-            for p in places[lo[i] : hi[i]].tolist():
-                item = int(items.doc_of_word[p])
-                shift = w - p
-                key = (d, item, shift)
-                if key in tried:
+        lo = np.searchsorted(hashes, h[at], "left")
+        n = np.searchsorted(hashes, h[at], "right") - lo
+        total = np.concatenate(([0], np.cumsum(n)))
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + COMPARED, "right")) - 1)
+            own = n[begin:end]
+            within = np.arange(total[end] - total[begin]) - np.repeat(total[begin:end] - total[begin], own)
+            yield np.repeat(at[begin:end], own), places[np.repeat(lo[begin:end], own) + within]
+            begin = end
+
+
+def _overlaps(items: Items, tables: list[np.ndarray], words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, first word, end) of the accepted overlaps of a chunk of documents."""
+    out: dict[tuple[int, int, int], tuple[int, int]] = {}
+    doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for w, p in _hits(items, tables, words, doc_of):
+        # each alignment once: a document, an item and how far one lies from the other
+        pairs = np.unique(np.column_stack((doc_of[w], items.doc_of_word[p], w - p)), axis=0)
+        d, item, shift = pairs.T
+        a = np.maximum(items.first[item], first[d] - shift)
+        b = np.minimum(items.first[item + 1], first[d + 1] - shift)
+        keep = b - a >= items.need[item]
+        d, item, shift, a, b = d[keep], item[keep], shift[keep], a[keep], b[keep]
+        total = np.concatenate(([0], np.cumsum(b - a)))
+        begin = 0
+        while begin < len(a):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + COMPARED, "right")) - 1)
+            n = (b - a)[begin:end]
+            cut = total[begin : end + 1] - total[begin]
+            at = np.arange(cut[-1]) + np.repeat(a[begin:end] - cut[:-1], n)
+            equal = items.words[at] == words[at + np.repeat(shift[begin:end], n)]
+            # fewer equal words in all than the shortest overlap has: not worth a closer look
+            likely = np.add.reduceat(equal, cut[:-1], dtype=np.int64) >= LEAST_EQUAL * items.need[item[begin:end]] - 1e-9
+            for k in np.flatnonzero(likely).tolist():
+                x = begin + k
+                key = (int(d[x]), int(item[x]), int(shift[x]))
+                if key in out:
                     continue
-                tried.add(key)
-                a, b = int(items.first[item]), int(items.first[item + 1])
-                a, b = max(a, int(first[d]) - shift), min(b, int(first[d + 1]) - shift)
-                equal = items.words[a:b] == words[a + shift : b + shift]
-                s, e = longest_stretch(equal)
-                need = min(LEAST_WORDS, max(SHORTEST, int(np.ceil(LEAST_COVER * items.n[item]))))
-                if e - s >= need:
-                    out[key] = (a + s + shift - int(first[d]), a + e + shift - int(first[d]))
+                s, e = longest_stretch(equal[cut[k] : cut[k + 1]])
+                if e - s >= items.need[item[x]]:
+                    start = int(a[x] + shift[x] - first[d[x]])
+                    out[key] = (start + s, start + e)
+            begin = end
     return [(d, item, *span) for (d, item, _), span in out.items()]
 
 

@@ -292,3 +292,41 @@ def test_substituted_copies_are_found(spark, documents, collected, prose):
     words = prose(7, 40).split()
     rows = [(k, " ".join("other" if i % 8 == k else w for i, w in enumerate(words))) for k in range(8)]
     assert all(r["contaminated"] for r in collected(decontam.overlaps(documents(rows), bench)).values())
+
+
+def accepted(item, doc):
+    best, n = slow_overlap(item, doc)
+    return best >= min(13, max(5, int(np.ceil(0.8 * n))))
+
+
+def test_seeds_hit_every_accepted_stretch():
+    """All substitution places of a stretch with equal ends, at the most substitutions that its length allows."""
+    from itertools import combinations
+
+    for n in [*range(5, 20), 20]:
+        for k in range(n // 5 + 1):
+            for gone in combinations(range(1, n - 1), k):
+                assert any(not {at + x for x in seed} & set(gone) for seed in decontam.SEEDS for at in range(n - seed[-1])), (n, gone)
+
+
+def test_decontamination_equals_brute_force(spark, documents, collected, prose):
+    lengths = [4, 5, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 17, 18, 20, 25, 30]
+    items = [(k, prose(300 + k, n)) for k, n in enumerate(lengths)]
+    rnd = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = prose(1000 + i, 12).split()
+        part = items[i % len(items)][1].split()
+        if i % 3 == 0:  # a piece of the item
+            part = part[: rnd.randrange(max(4, len(part) * 3 // 4), len(part) + 1)]
+        for p in rnd.sample(range(len(part)), min(len(part), rnd.choice([len(part) // 5, (len(part) + 4) // 5]))):
+            part[p] = "other"
+        words[6:6] = part
+        rows.append((i, " ".join(words)))
+    rows.append((900, "a b " * 300))
+    items += [(90, "a b a b a b"), (91, "a a b b a a b")]
+    out = collected(decontam.overlaps(documents(rows), spark.createDataFrame(items, "item_id long, text string")))
+    for i, text in rows[:-1]:
+        assert out[i]["items"] == [k for k, t in items if accepted(t, text)], i
+    assert out[900]["items"] == [90]
+    assert sum(r["contaminated"] for r in out.values()) > 150
