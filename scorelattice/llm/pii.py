@@ -142,7 +142,7 @@ def _marks(text: str) -> list[tuple[int, int, str]]:
 
 
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """(base spans, added spans) by kind; an added span overlaps no base span."""
+    """(base spans, added spans) by kind; an added span lies in no base span of its kind, but may reach beyond one."""
     text = text or ""
     base, added = detect_kinds(text), {k: [] for k in KINDS}
     glyphs = not text.isascii() and _GLYPH.search(text)
@@ -155,11 +155,14 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     plain.rewrite(_marks(plain.text))
     if plain.starts is None:
         return base, added
-    taken = sorted(s for spans in base.values() for s in spans)
     for kind, spans in detect_kinds(plain.text).items():
+        # both in the order of the text and each without overlap: one pass
+        k, own = 0, base[kind]
         for span in spans:
             s, e = plain.source(*span)
-            if not any(a < e and s < b for a, b in taken):
+            while k < len(own) and own[k][1] < e:
+                k += 1
+            if k == len(own) or own[k][0] > s:
                 added[kind].append((s, e))
     return base, added
 
@@ -184,18 +187,24 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one."""
+    """The text with every span replaced by its kind in brackets; overlapping spans become one, of the longest one's kind."""
     if not text:
         return text
     base, added = find(text)
     spans = sorted((s, e, k) for found in (base, added) for k in KINDS for s, e in found[k])
     if not spans:
         return text
-    out, at = [], 0
+    unions: list[tuple[int, int, int, str]] = []  # start, end, length of the longest span and its kind
     for s, e, kind in spans:
-        if s >= at:
-            out += [text[at:s], f"[{kind.upper()}]"]
-        at = max(at, e)
+        if unions and s < unions[-1][1]:
+            start, end, longest, named = unions[-1]
+            unions[-1] = (start, max(end, e), *((e - s, kind) if e - s > longest else (longest, named)))
+        else:
+            unions.append((s, e, e - s, kind))
+    out, at = [], 0
+    for s, e, _, kind in unions:
+        out += [text[at:s], f"[{kind.upper()}]"]
+        at = e
     return "".join([*out, text[at:]])
 
 

@@ -180,6 +180,29 @@ def test_clean_text_is_left_alone(text):
     assert not any(pii.find(text)[1].values()) and pii.redacted(text) == text
 
 
+@pytest.mark.parametrize(
+    "source, kind",
+    [
+        ("j\u043ehn@example.com", "email"),
+        ("john@mail.ex\u0430mple.com", "email"),
+        ("john@example.c\u043em", "email"),
+        ("+1 555 123 45 six seven eight nine", "phone"),
+    ],
+)
+def test_disguises_around_a_base_span(source, kind):
+    text = f"write {source}, please"
+    base, added = pii.find(text)
+    assert len(base[kind]) == 1 and added[kind] == [(6, 6 + len(source))]
+    assert pii.redacted(text) == f"write [{kind.upper()}], please"
+
+
+def test_base_spans_are_not_added_again():
+    text = "j\u043ehn@example.com, mary@example.com, +1 555 123 4567, 10.0.0.1, 4111 1111 1111 1111"
+    base, added = pii.find(text)
+    assert added == {"email": [(0, 16)], "ip": [], "card": [], "phone": []}
+    assert pii.redacted(text) == "[EMAIL], [EMAIL], [PHONE], [IP], [CARD]"
+
+
 def test_pii_table(documents, collected):
     rows = [*edge_rows(), (20, "a@b.co " * 40_000)]
     df = documents(rows)
