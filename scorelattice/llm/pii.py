@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,21 +43,78 @@ GLYPHS |= {chr(0x2080 + i): str(i) for i in range(10)} | {chr(0x2074 + i): str(i
 GLYPHS |= {chr(0x0660 + i): str(i) for i in range(10)} | {chr(0x06F0 + i): str(i) for i in range(10)} | {chr(0x0966 + i): str(i) for i in range(10)}
 GLYPHS |= dict(zip("аеорсухіјѕοαν", "aeopcyxijsoav", strict=True))
 GLYPHS |= {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
-_GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
+# Capitals and further small letters of other scripts that look like Latin ones.
+GLYPHS |= dict(zip("АВЕКМНОРСТУХЅІЈԌԚԜҮ", "ABEKMHOPCTYXSIJGQWY", strict=True))
+GLYPHS |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ABEZHIKMNOPTYXCj", strict=True))
+GLYPHS |= dict(zip("кмтһӏԁԛԝѵɡɑıικρτυχγεηωσϲօոսհցք", "kmthldqwvgaiikptuxyenwoconuhgp", strict=True))
+
+
+#: All of Unicode that isn't Han, Hangul, surrogates, private or unassigned.
+_BLOCKS = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xD7B0, 0xD800), range(0xF900, 0x17000), range(0x1B000, 0x20000), range(0xE0000, 0xE0200))
+
+
+def _plain(c: str) -> str | None:
+    """The one visible ASCII character, digit, space or nothing that a character of Unicode stands for."""
+    kind = unicodedata.category(c)
+    if kind == "Cf" and "NUMBER" not in (name := unicodedata.name(c, "")) and "AYAH" not in name or 0xFE00 <= ord(c) <= 0xFE0F or ord(c) in (0x034F, 0x115F, 0x1160, 0x3164):
+        return ""  # zero width
+    if kind == "Zs":
+        return " "
+    digit = unicodedata.digit(c, None)
+    if digit is not None:
+        return str(digit)
+    folded = unicodedata.normalize("NFKC", c) if unicodedata.decomposition(c) else ""
+    return folded if len(folded) == 1 and "!" <= folded <= "~" else None
+
+
+def _class(chars: list[str]) -> str:
+    """A character class by ranges: as single characters, those beyond 16 bits would be tried one by one."""
+    runs: list[list[int]] = []
+    for at in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == at - 1:
+            runs[-1][1] = at
+        else:
+            runs.append([at, at])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
+
+
+GLYPHS = {c: by for part in _BLOCKS for c in map(chr, part) if (by := _plain(c)) is not None} | GLYPHS
+GLYPHS = {c: by for c, by in GLYPHS.items() if not c.isascii()}
+_GLYPH = re.compile(_class(list(GLYPHS)))
 # Spelled digits.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "(?:" + "|".join(DIGITS) + ")"
-#: At least four spelled digits in a row, or mixed with figures after a plus.
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:plus[\x20-]+)?{_DIGIT}(?:[\x20,.-]{{1,2}}{_DIGIT}){{3,}}(?![A-Za-z])")
-_SPELLED_WORD = re.compile(rf"(?i)plus[\x20-]+|{_DIGIT}(?:[\x20,-]{{1,2}}(?={_DIGIT}))?")
+_FIGURE = rf"(?:{_DIGIT}(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))"
+_GAP = r"[\x20,.()-]{1,3}"
+#: Spelled digits and figures in a row; taken at four spelled ones, or at any beside figures or a plus.
+_SPELLED = re.compile(rf"(?ai)(?<![A-Za-z0-9])(?:(?P<plus>\+\x20?|plus[\x20-]+)\(?)?{_FIGURE}(?:{_GAP}{_FIGURE})*+")
+_SPELLED_WORD = re.compile(rf"(?ai)plus[\x20-]+|{_DIGIT}(?![A-Za-z0-9])(?:[\x20,-]{{1,2}}(?={_DIGIT}(?![A-Za-z0-9])))?")
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
-_AT = re.compile(rf"(?i)\x20?{_OPEN}(?:at|@|arroba){_CLOSE}\x20?")
-_DOT = re.compile(rf"(?i)\x20?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\x20?")
-#: Bare words only stand for marks where the whole has the shape of an address with a usual ending (fixed values).
-_ENDS = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|example|test|uk|de|fr|es|eu|ch|nl|pl|ca|au|jp"
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:(?P<dot>\x20dot\x20)[A-Za-z0-9-]+)*\x20dot\x20(?:{_ENDS})(?![A-Za-z0-9])")
-_BARE_DOT = re.compile(r"\x20dot\x20")
-_DISGUISE = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_CLOSE}|\x20dot\x20|(?<![A-Za-z]){_DIGIT}[\x20,.-]{{1,2}}{_DIGIT}[\x20,.-]")
+_AT = re.compile(rf"(?ai)\x20?{_OPEN}(?:at|@|arroba){_CLOSE}\x20?")
+_DOT = re.compile(rf"(?ai)\x20?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\x20?")
+#: Bare words only stand for marks where the whole has the shape of an address with a usual ending (fixed values):
+#: any country's two letters, or a common longer one.
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|xyz|online|site|shop|store|tech|cloud|blog|email|mail|agency|arpa|coop|museum|jobs|mobi|tel|travel|example|test|invalid|localhost|local"
+_ENDS += "|" + "|".join(
+    f"{first}[{second}]"
+    for first, second in zip(
+        "abcdefghijklmnopqrstuvwyz",
+        "cdefgilmoqrstuwxz abdefghijmnorstvwyz acdfghiklmnoruvwxyz ejkmoz cegrstu ijkmor abdefghilmnpqrstuwy kmnrtu delmnoqrst emop eghimnprwyz abcikrstuvy acdeghklmnopqrstuvwxyz acefgilopruz m aefghklmnrstwy a eosuw abcdeghijklmnorstvxyz cdfghjklmnortvwz agksyz aceginu fs et amw".split(),
+        strict=True,
+    )
+)
+_LOCAL = r"[A-Za-z0-9._%+-]++"
+_BARE = re.compile(rf"(?ai)(?<![A-Za-z0-9._%+-])(?P<local>{_LOCAL}(?:\x20dot\x20{_LOCAL}){{0,3}}?)(?P<at>@|\x20{{1,2}}at\x20{{1,2}})(?P<host>(?P<first>[A-Za-z0-9-]++)(?:(?:\.|\x20{{1,2}}dot\x20{{1,2}})[A-Za-z0-9-]++)*?(?:\.|\x20{{1,2}}dot\x20{{1,2}})(?P<end>{_ENDS}))(?![A-Za-z0-9-])(?!\.[A-Za-z0-9])")
+_BARE_DOT = re.compile(r"(?ai)\x20{1,2}dot\x20{1,2}")
+#: Endings that are words, after words that no host is called: "look at the dot in the middle".
+_WORDS = {"as", "at", "be", "by", "do", "in", "is", "it", "me", "my", "no", "so", "to", "us", "am", "re", "name", "local", "site", "online", "test", "store", "shop", "mail"}
+_NO_HOST = {"a", "an", "the", "this", "that", "each", "every", "one", "any", "some", "no", "my", "your", "his", "her", "its", "our", "their"}
+#: Words before "at" and a written-out host that name no mailbox: "available at example.com".
+_NO_LOCAL = {"a", "all", "also", "and", "are", "article", "articles", "available", "be", "blog", "book", "books", "buy", "code", "docs", "documentation", "download", "downloaded", "edition", "everyone", "file", "files", "find", "found", "free", "here", "home", "hosted", "information", "is", "it", "join", "live", "listed", "located", "look", "looking", "me", "more", "now", "online", "only", "or", "order", "out", "page", "pages", "people", "post", "posted", "posts", "published", "read", "register", "released", "see", "seen", "shop", "sign", "site", "sold", "start", "store", "tickets", "team", "that", "them", "there", "this", "those", "today", "up", "us", "version", "video", "videos", "visit", "was", "watch", "we", "website", "were", "work", "works", "working", "you"}
+_DISGUISE = re.compile(
+    rf"(?ai){_OPEN}(?:at|@|arroba|dot|punkt|point|punto|\.){_CLOSE}|\x20dot\x20|\x20at\x20{{1,2}}[A-Za-z0-9-]++\.[A-Za-z]"
+    rf"|(?<![A-Za-z0-9]){_DIGIT}(?:{_GAP}[0-9]|[\x20,.-]{{1,2}}{_DIGIT}(?![A-Za-z]))|(?:[0-9]{_GAP}|\+\x20?\(?|(?<![A-Za-z])plus[\x20-]+){_DIGIT}(?![A-Za-z])"
+)
 
 
 def luhn(digits: str) -> bool:
@@ -126,21 +184,38 @@ class Mapped:
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     out = []
     for run in _SPELLED.finditer(text):
-        for word in _SPELLED_WORD.finditer(text, run.start(), run.end()):
+        words = [m for m in _SPELLED_WORD.finditer(text, run.start(), run.end())]
+        spelled = sum(w[0][0] not in "pP" for w in words)
+        if not spelled or not (spelled >= 4 or run["plus"] or any("0" <= c <= "9" for c in run[0])):
+            continue
+        for word in words:
             key = word[0].strip(" ,-").lower()
             out.append((word.start(), word.end(), "+" if key == "plus" else DIGITS[key]))
     return out
 
 
 def _marks(text: str) -> list[tuple[int, int, str]]:
-    out = [(m.start(), m.end(), "@") for m in _AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
-    for m in _BARE.finditer(text) if " dot " in text else ():
-        out.append((*m.span("at"), "@"))
-        out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end("at"), m.end())]
-    out.sort()
+    """Marks in brackets."""
+    out = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)])
     return [x for k, x in enumerate(out) if not k or out[k - 1][1] <= x[0]]
 
 
+def _bare_marks(text: str) -> list[tuple[int, int, str]]:
+    """Marks that are words, in what has one such mark at least; the other marks may be plain or were in brackets."""
+    out: list[tuple[int, int, str]] = []
+    for m in _BARE.finditer(text):
+        dots = [d.span() for d in _BARE_DOT.finditer(text, m.start("local"), m.end("local"))], [d.span() for d in _BARE_DOT.finditer(text, m.start("host"), m.end("host"))]
+        if m["end"].lower() in _WORDS and m["first"].lower() in _NO_HOST and m["at"] != "@":
+            continue
+        if not dots[1] and m["at"] != "@" and (m["local"].lower() in _NO_LOCAL or m["first"].lower() == "www"):
+            continue
+        out += [(s, e, ".") for s, e in dots[0]]
+        if m["at"] != "@":
+            out.append((*m.span("at"), "@"))
+        out += [(s, e, ".") for s, e in dots[1]]
+    return out
+
+
 def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(base spans, added spans) by kind; an added span lies in no base span of its kind, but may reach beyond one."""
     text = text or ""
@@ -153,6 +228,8 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
         plain.rewrite([(m.start(), m.end(), GLYPHS[m[0]]) for m in _GLYPH.finditer(text)])
     plain.rewrite(_spelled(plain.text))
     plain.rewrite(_marks(plain.text))
+    if _BARE_DOT.search(plain.text) or " at " in plain.text.lower():
+        plain.rewrite(_bare_marks(plain.text))
     if plain.starts is None:
         return base, added
     for kind, spans in detect_kinds(plain.text).items():

@@ -196,6 +196,52 @@ def test_disguises_around_a_base_span(source, kind):
     assert pii.redacted(text) == f"write [{kind.upper()}], please"
 
 
+@pytest.mark.parametrize(
+    "source, kind",
+    [
+        ("+1 555 two three four 5678", "phone"),
+        ("+one 555 234 5678", "phone"),
+        ("plus 1 555 two 345678", "phone"),
+        ("4111 1111 1111 one 111", "card"),
+        ("JANE AT EXAMPLE DOT COM", "email"),
+        ("jane@example dot com", "email"),
+        ("jane at example.com", "email"),
+        ("jane at host dot se", "email"),
+        ("jane [at] host dot se", "email"),
+        ("jane dot doe at mail dot host dot se", "email"),
+        ("jane@exam\u200bple.com", "email"),
+        ("jane\u200b@example.com", "email"),
+        ("4111 1111 11\u200b11 1111", "card"),
+        ("\u0410\u041d\u041d\u0410@\u0415\u0425\u0410MPLE.COM", "email"),
+        ("\u0391NN@EX\u0391MPLE.COM", "email"),
+        ("\U0001d41cat@example.com", "email"),
+        ("\u0e51\u0e50.0.0.1", "ip"),
+    ],
+)
+def test_further_disguises(source, kind):
+    text = f"write: {source}, please"
+    base, added = pii.find(text)
+    assert (7, 7 + len(source)) in base[kind] + added[kind]
+    assert pii.redacted(text) == f"write: [{kind.upper()}], please"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["one of 5 things, 3 of them new", "two 5 and plus one", "look at the dot in the middle", "available at example.com today", "The code at www.example.com", "meet at noon. Then go", "at 5.30 one hour", "x\u200by z\ufeff", "\u017fix one two three four five", "onerous 12 threefold"],
+)
+def test_further_clean_text_is_left_alone(text):
+    assert not any(pii.find(text)[1].values()) and pii.redacted(text) == text
+
+
+@pytest.mark.parametrize("part", ["a dot ", "a at b dot ", "one ", "1 one ", "plus ", "a.", "a at ", "a at b.", "+1 two (", "a@b dot "])
+def test_disguises_take_linear_time(part):
+    import time
+
+    start = time.process_time()
+    pii.find(part * 30_000)
+    assert time.process_time() - start < 10
+
+
 def test_base_spans_are_not_added_again():
     text = "j\u043ehn@example.com, mary@example.com, +1 555 123 4567, 10.0.0.1, 4111 1111 1111 1111"
     base, added = pii.find(text)
