@@ -24,7 +24,6 @@ by clean().
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -182,31 +181,32 @@ def _batch_overlaps(items: Items, tables: list[np.ndarray], column: pa.Array) ->
             yield i + d, item, s, e
 
 
+_FOUND = "doc_id long, text string, n_overlaps long, longest long, items array<long>"
+
+
 def _scanner(shared):
+    """Adds a part's overlaps to what the parts before found in the same rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, tables = shared.value, shared.value.tables()
         for batch in batches:
-            n, words, ids = [0] * batch.num_rows, [0] * batch.num_rows, [set() for _ in range(batch.num_rows)]
+            n, words, ids = batch.column(2).to_pylist(), batch.column(3).to_pylist(), [set(x) for x in batch.column(4).to_pylist()]
             for d, item, s, e in _batch_overlaps(items, tables, batch.column(1)):
                 n[d] += 1
                 words[d] = max(words[d], e - s)
                 ids[d].add(int(items.ids[item]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.int64()))], ["doc_id", "n_overlaps", "longest", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.int64()))], ["doc_id", "text", "n_overlaps", "longest", "items"])
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, most: int = PART_ITEMS) -> DataFrame:
     """doc_id, contaminated, n_overlaps, longest (words), items of every row."""
-    sc = docs.sparkSession.sparkContext
-    schema = "doc_id long, n_overlaps long, longest long, items array<long>"
-    parts = [map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _scanner(sc.broadcast(p)), schema) for p in item_parts(benchmark)]
-    if not parts:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_overlaps"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<long>").alias("items"))
-    if len(parts) > 1:  # sum up over the parts
-        merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("n_overlaps").alias("n_overlaps"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        parts = [merged]
-    return parts[0].select("doc_id", (F.col("n_overlaps") > 0).alias("contaminated"), "n_overlaps", "longest", "items")
+    none = F.lit(0).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("n_overlaps"), none.alias("longest"), F.array().cast("array<long>").alias("items"))
+    for part in item_parts(benchmark, most):
+        rows = map_batches(rows, _scanner(docs.sparkSession.sparkContext.broadcast(part)), _FOUND)
+    return rows.select("doc_id", (F.col("n_overlaps") > 0).alias("contaminated"), "n_overlaps", "longest", "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

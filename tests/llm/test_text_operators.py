@@ -399,3 +399,15 @@ def test_decontamination_equals_brute_force(spark, documents, collected, prose):
         assert out[i]["items"] == [k for k, t in items if accepted(t, text)], i
     assert out[900]["items"] == [90]
     assert sum(r["contaminated"] for r in out.values()) > 150
+
+
+def test_parts_of_the_benchmark_keep_every_row(spark, documents, prose):
+    items = [(k, prose(500 + k, 20)) for k in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, items[0][1]), (None, prose(1, 30)), (7, items[1][1] + " " + items[4][1]), (7, prose(2, 30)), (8, items[2][1]), (8, items[2][1]), (9, None)]
+    found = lambda df: sorted(map(str, df.collect()))
+    parts = decontam.overlaps(documents(rows), bench, most=2)
+    assert parts.count() == len(rows)
+    assert sorted(r["n_overlaps"] for r in parts.collect()) == [0, 0, 0, 1, 1, 1, 2]
+    assert found(parts) == found(decontam.overlaps(documents(rows), bench))
+    assert decontam.overlaps(documents(rows), bench.limit(0)).dtypes == parts.dtypes
