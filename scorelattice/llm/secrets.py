@@ -26,8 +26,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 _ACCESS_RUN = r"AKIA[A-Z0-9]{16,}+"
 _HEX_RUN = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 
-#: Candidates: runs of token characters with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+#: Candidates: runs of token characters with a letter.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 #: Character class, the characters it allows, and the least entropy of some window, in bits a character.
 CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("upper", "^[A-Z0-9]+$", 3.4), ("lower", "^[a-z0-9]+$", 3.4), ("token", "^[A-Za-z0-9+/_=-]+$", 3.7))
@@ -37,8 +37,15 @@ ALLOWED = (
     r"^[A-Za-z]+[0-9]{1,4}$",  # a word and a short number
     r"^[0-9]{1,4}[A-Za-z]+$",
     r"^(.{1,8}?)\1+.{0,8}$",  # one short pattern over and over
+    # letters only: a word, or words with capitals between them, of vowels and not too many consonants in a row
+    r"^(?=(?:[A-Z]?[a-z]++|[A-Z]++|[a-z]*+(?:[A-Z][a-z]++|[A-Z]{2,6}(?=[A-Z][a-z]))++)$)(?i:(?:[b-df-hj-np-tv-xz]{0,4}+[aeiouy]++)++[b-df-hj-np-tv-xz]{0,4}+)$",
+    r"(?i)^(?:(?:md5|sha-?(?:1|224|256|384|512)|checksum|digest|fingerprint)[=_-](?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|sha-?(?:1|256|384|512)-[a-z0-9+/]{27,86}={0,2})$",  # a digest with its name
     r"(?i)(example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdef0123)",
 )
+#: A digest by its length, and what announces it as a checksum right before.
+DIGEST = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})$"
+ANNOUNCED = r"""(?i)(?<![a-z0-9])(?:md5|sha-?(?:1|224|256|384|512)|checksum|digest|fingerprint)(?:sum)?["']?(?:\x20?\([^()]{0,40}\))?\x20?(?:is|of|[:=])?\x20?["']?$"""
+ANNOUNCED_CHARS = 64
 
 
 def _located(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
@@ -121,7 +128,9 @@ def scan(docs: DataFrame) -> DataFrame:
     order = lambda spans: F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).when(x["kind"] == "hex", 2).otherwise(3).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"))))
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.concat("_assign", "_access", "_hex")
-    rows = rows.select("doc_id", *[F.size(c).cast("long").alias(n) for c, n in (("_assign", "n_assign"), ("_access", "n_access"), ("_hex", "n_hex"))], base.alias("_base"), "_cand")
-    added = F.filter("_cand", lambda c: F.when(F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), F.lit(False)).otherwise(suspicious(c["v"])))
+    rows = rows.select("doc_id", *[F.size(c).cast("long").alias(n) for c, n in (("_assign", "n_assign"), ("_access", "n_access"), ("_hex", "n_hex"))], base.alias("_base"), "_cand", "_t")
+    before = lambda c: t.substr(F.greatest(c["s"] - (ANNOUNCED_CHARS - 1), F.lit(1)), F.least(c["s"], F.lit(ANNOUNCED_CHARS)))
+    checksum = lambda c: F.when(c["v"].rlike(DIGEST), before(c).rlike(ANNOUNCED)).otherwise(F.lit(False))
+    added = F.filter("_cand", lambda c: F.when(F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), F.lit(False)).when(checksum(c), F.lit(False)).otherwise(suspicious(c["v"])))
     rows = rows.select("doc_id", "n_assign", "n_access", "n_hex", "_base", F.when(F.size("_cand") > 0, added).otherwise(F.col("_cand")).alias("_added"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(line(order(F.col("_base"))).cast("binary"), 256).alias("base_sha256"), line(order(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_entropy"))

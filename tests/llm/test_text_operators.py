@@ -411,3 +411,11 @@ def test_parts_of_the_benchmark_keep_every_row(spark, documents, prose):
     assert sorted(r["n_overlaps"] for r in parts.collect()) == [0, 0, 0, 1, 1, 1, 2]
     assert found(parts) == found(decontam.overlaps(documents(rows), bench))
     assert decontam.overlaps(documents(rows), bench.limit(0)).dtypes == parts.dtypes
+
+
+def test_letters_only_and_announced_digests(documents):
+    digest = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822CD15D6C15B0F00A08"
+    found = {1: "key ZkTxQnvTjbNgmLqwRdyUspAx end", 2: "key qzxkvjwpqmfhtrlbndgsc", 3: "id " + digest, 4: "the digest was not " + digest}
+    clean = {11: "internationalisation", 12: "getUserAccountInformationFromDatabase", 13: "Geschwindigkeitsbegrenzung", 14: "SHA256: " + digest, 15: "MD5 (a.iso) = " + digest[:32], 16: "checksum=" + digest, 17: "sha256-" + digest, 18: "a" * 200_000, 19: "Ab" * 100_000}
+    out = {r["doc_id"]: r["n_entropy"] for r in secrets.scan(documents([*found.items(), *clean.items()])).collect()}
+    assert out == {**dict.fromkeys(found, 1), **dict.fromkeys(clean, 0)}
