@@ -8,9 +8,11 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,31 +25,60 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = 2**63 - 1
 #: Text that is hashed in one go: its arrays stay in the processor's cache.
 CHUNK_BYTES = 400_000
-#: Bounds of an Arrow batch, so that long texts don't add up in a worker.
+#: Bounds of what an operator gets at a time, so that long texts don't add up in a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: A longer word is hashed by itself.
+LONG_WORD = 256
+#: Scratch tables that are still there, with their sessions.
+_scratch: dict[str, SparkSession] = {}
 
 
 # --- scratch tables -------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session without a cluster may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scorelattice-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_folder()
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="scorelattice-")
+
+
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors.
+
+    A table in a folder of the caller's own stays; others go with dropped() or when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scorelattice/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/scorelattice'}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if folder is None:
+        out._scratch = path
+        _scratch[path] = spark
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            _remove(_scratch.pop(path), path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    while _scratch:
+        path, spark = _scratch.popitem()
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -75,18 +106,29 @@ def order_key(doc_id: Column) -> Column:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow over batches of bounded size; a worker gives its memory back when a task ends."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow over batches of bounded size; a worker gives its memory back when a task ends.
+
+    Arrow batches come as the session cuts them and are cut further here: its settings stay as they are.
+    """
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(part for batch in batches for part in bounded(batch))
         release_memory()
 
     return df.mapInArrow(tidy, schema)
 
 
+def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most BATCH_ROWS rows and, but for single rows, about BATCH_BYTES bytes."""
+    n = batch.num_rows
+    rows = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+    if n <= rows:
+        yield batch
+        return
+    for at in range(0, n, rows):
+        yield batch.slice(at, rows)
+
+
 def release_memory() -> None:
     """Freed memory goes back to the system: idle workers stay alive beside the next stage's."""
     gc.collect()
@@ -147,21 +189,6 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def _tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64, and of its inverse."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        p = _MULTIPLIERS[which]
-        forth = np.full(n, p, np.uint64)
-        back = np.full(n, pow(p, -1, 2**64), np.uint64)
-        forth[0] = back[0] = 1
-        have = np.multiply.accumulate(forth), np.multiply.accumulate(back)
-        if n <= 4 * CHUNK_BYTES:
-            _powers[which] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -169,20 +196,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _mix_other(h: np.ndarray) -> np.ndarray:
+    """Another finaliser, by other shifts and factors."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_MIXERS, _SEEDS = (mix, _mix_other), (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes, from prefix sums over the bytes."""
+    """64-bit hash of each word's bytes: eight of them at a time go through a finaliser, all words side by side.
+
+    Hashes of different `which` use different finalisers, so that together they are one of 128 bits.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    forth, back = _tables(which, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts])
-
-
-def fold(words: np.ndarray, offsets: tuple[int, ...] | range, count: int) -> np.ndarray:
+    turn = _MIXERS[which]
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    size = (ends - starts).astype(np.uint64)
+    h = turn(size + np.uint64(_SEEDS[which]))
+    long = np.flatnonzero(size > LONG_WORD)
+    left, at, own = size, starts, np.arange(len(starts))
+    if len(long):
+        keep = size <= LONG_WORD
+        left, at, own = size[keep], starts[keep], own[keep]
+        for k in long.tolist():
+            digest = xxhash.xxh3_128_intdigest(data[starts[k] : ends[k]].tobytes())
+            h[k] = (digest >> (64 * which)) & 0xFFFFFFFFFFFFFFFF
+    while len(own):
+        lane = eights[at].view("<u8").reshape(-1)
+        short = np.minimum(left, np.uint64(8))
+        lane = lane & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short))
+        h[own] = turn(h[own] ^ lane)
+        more = left > 8
+        left, at, own = left[more] - np.uint64(8), at[more] + 8, own[more]
+    return h
+
+
+def fold(words: np.ndarray, offsets: tuple[int, ...] | range, count: int, which: int = 0) -> np.ndarray:
     """Hash of the words at i + each offset, for i below count."""
     h = np.full(count, 0x51ED270B9F4D6C35, np.uint64)
     for o in offsets:
         h = ((h << np.uint64(7)) | (h >> np.uint64(57))) ^ words[o : o + count]
-        h *= np.uint64(0x9FB21C651E98DF25)
-    return mix(h)
+        h *= np.uint64(0x9FB21C651E98DF25 if which == 0 else 0xA0761D6478BD642F)
+        h ^= h >> np.uint64(29 if which == 0 else 32)
+    return _MIXERS[which](h)

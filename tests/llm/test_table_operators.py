@@ -49,8 +49,9 @@ def slow_dedup(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("ends", [(1.0,), (0.25, 1.0), (0.2, 0.4, 0.6, 0.8, 0.9, 1.0)])
-def test_substrings_against_brute_force(documents, prose, ends):
+@pytest.mark.parametrize("ends, buckets, fan", [((1.0,), None, 4096), (substring_dedup.BATCH_ENDS, None, 4096), ((0.2, 0.4, 0.6, 0.8, 0.9, 1.0), 500, 4096), ((0.2, 0.4, 0.6, 0.8, 1.0), 40, 8), ((0.5, 1.0), 1000, 7)])
+def test_substrings_against_brute_force(documents, prose, monkeypatch, ends, buckets, fan):
+    monkeypatch.setattr(substring_dedup, "CHUNK_TEXT", 3000)
     rnd = random.Random(2)
     pool = [prose(900 + k, 13 + 3 * k) for k in range(8)]
     rows = []
@@ -59,7 +60,7 @@ def test_substrings_against_brute_force(documents, prose, ends):
         rnd.shuffle(parts)
         rows.append((i * 7 % 61, rnd.choice([" ", "\n", "\t "]).join(parts)))
     rows += [(100, None), (101, ""), (102, rows[0][1]), (102, rows[0][1]), (103, "é x " * 30), (104, "é x " * 5000)]
-    out = substring_dedup.deduplicate(documents(rows), batch_ends=ends).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("h")).collect()
+    out = substring_dedup.deduplicate(documents(rows), batch_ends=ends, buckets=buckets, fan=fan).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("h")).collect()
     assert sorted(tuple(r) for r in out) == slow_dedup(rows)
 
 
@@ -70,6 +71,62 @@ def test_substring_edges(documents, prose):
     assert substring_dedup.deduplicate(documents(rows).limit(0)).count() == 0
 
 
+def thue_morse(k):
+    out = "a"
+    for _ in range(k):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_sums_of_powers_take_for_equal(documents, prose):
+    """A Thue-Morse word and its complement collide under every polynomial hash modulo 2**64."""
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    before, after = prose(1, 12), prose(2, 12)
+    rows = [(1, f"{before} {word} {after}"), (2, f"{before} {other} {after}"), (3, f"{before} {other} {after}")]
+    out = {r["doc_id"]: r["n_removed"] for r in substring_dedup.deduplicate(documents(rows)).collect()}
+    assert out == {1: 0, 2: 0, 3: 25}
+
+
+def test_hashes_tell_words_apart():
+    from scorelattice.llm import common
+
+    words = [b"a" * n for n in range(1, 600)] + [b"\0" * n for n in range(1, 30)] + [b"b" + b"\0" * n for n in range(1, 30)] + [bytes([x, y]) for x in range(256) for y in range(256)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - np.array([len(w) for w in words])
+    for which in (0, 1):
+        h = common.word_hashes(data, starts, ends, which)
+        assert len(set(h.tolist())) == len(set(words))
+        alone = np.frombuffer(b"xx" + words[100] + b"yy", np.uint8)
+        assert common.word_hashes(alone, np.array([2]), np.array([2 + len(words[100])]), which)[0] == h[100]
+
+
+def test_rows_of_a_chunk_do_not_grow_with_the_index(prose):
+    import pyarrow as pa
+
+    n = 300
+    text, ids = pa.array([prose(k, 300) for k in range(n)]), np.arange(n) * 17
+    size = {}
+    for buckets in (64, 1024, 6250, 62_500, 6_250_000):
+        rows = substring_dedup.chunk_rows(ids, ids, text, 13, substring_dedup.Buckets(buckets, 1024))
+        size[buckets] = sum(len(x) for r in rows for x in r[3:])
+        assert len(rows) <= 1025 and sum(r[1] == "docs" for r in rows) == 1
+        assert sum(len(r[5]) for r in rows if r[1] == "new") == 10 * sum(len(r[6]) // 4 for r in rows if r[1] == "new")
+    assert size[6250] <= 1.25 * size[1024] and size[6_250_000] <= 1.25 * size[1024]
+
+
+def test_an_index_is_kept_and_opened_again(spark, documents, prose, tmp_path):
+    folder = "file://" + str(tmp_path / "index")
+    keyed = lambda rows: documents(rows).selectExpr("doc_id order_id", "xxhash64(text) sig", "text")
+    shared = prose(5, 40)
+    for k in range(7):
+        index = substring_dedup.FingerprintIndex(spark, folder=folder)  # as another session would
+        marks = index.add(keyed([(10 * k, prose(50 + k, 30)), (10 * k + 1, shared + " " + prose(70 + k, 30))]))
+        assert [r["mark_id"] for r in marks.collect()] == ([10 * k + 1] if k else [])
+        assert len(index.runs) < 4 and len(substring_dedup._tables(spark, index.folder)) == len(index.runs)
+
+
 # --- SimHash --------------------------------------------------------------
 
 
