@@ -10,7 +10,11 @@ often. What the visited cells hold is verified by the cosine in double precision
 Vectors that are equal in every component are one class with a weight. Cells are cut into tiles, so a
 cell of any size is shared out among tasks; tasks hand on counts and spanning forests, never pairs.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
+The codebooks have sqrt(n / 512) centres, so that a cell holds about 512 vectors at any size, up to 4,096
+centres (8.6 billion vectors); they are fitted on a sample of 8,192 to 65,536 rows (CENTRE_ROWS a centre).
+No table of all cells is made: a cell's distance is the sum of two entries of the halves' tables.
+
+Edge cases: labels are compared in their own type; vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing and are their own component; vectors of different lengths never link;
 rows that repeat a vec_id and its vector link with each other, rows that share a vec_id only are one
 node (with the sum of the links); every row gives a row; a null vec_id is ordered after all others; other columns are ignored.
@@ -34,9 +38,11 @@ from scorelattice.llm.simhash import Forest
 LEAST_COSINE = 0.93
 #: Share of the hardest links (cosine of exactly LEAST_COSINE) that the traversal must meet.
 RECALL = 0.999
-#: Bound on the rows that codebooks are fitted on.
-TRAIN_ROWS = 8192
+#: Codebooks: so many rows a centre are fitted on, and so many in all at least and at most.
+CENTRE_ROWS, TRAIN_ROWS, MOST_TRAIN_ROWS = 16, 8192, 65_536
 TILE = 1024
+#: Numbers of a table of distances that is held at a time.
+HELD = 1 << 22
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -44,12 +50,12 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarr
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(np.unique(x, axis=0))))
     centres = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
+    part = max(1, HELD // k)
     for _ in range(rounds):
-        near = nearest(x, centres)[0]
-        for c in range(k):
-            own = x[near == c]
-            if len(own):
-                centres[c] = own.mean(axis=0)
+        near = np.concatenate([nearest(x[at : at + part], centres)[0] for at in range(0, len(x), part)])
+        n, sums = np.bincount(near, minlength=k), np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
 
@@ -71,15 +77,18 @@ class Grid:
         half = x.shape[1] // 2
         return nearest(x[:, :half], self.books[0])[1], nearest(x[:, half:], self.books[1])[1]
 
-    def homes(self, x: np.ndarray) -> np.ndarray:
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each half of each row."""
         first, second = self.halves(x)
-        return first.argmin(axis=1) * len(self.books[1]) + second.argmin(axis=1)
+        return first.argmin(axis=1), second.argmin(axis=1)
 
-    def excess(self, x: np.ndarray) -> np.ndarray:
-        """For each row and cell, how much farther the cell is than the row's own."""
+    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How much farther than the row's own each centre of each half is; a cell is as much farther as both."""
         first, second = self.halves(x)
-        first, second = first - first.min(axis=1, keepdims=True), second - second.min(axis=1, keepdims=True)
-        return (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
+        return first - first.min(axis=1, keepdims=True), second - second.min(axis=1, keepdims=True)
+
+    def rows_at_a_time(self) -> int:
+        return max(1, HELD // max(len(b) for b in self.books))
 
 
 def visits(first: np.ndarray, second: np.ndarray, most: float) -> list[int]:
@@ -118,8 +127,14 @@ def fit(x: np.ndarray, codes: int, least: float, recall: float = RECALL, seed: i
     turn /= np.maximum(np.sqrt((turn**2).sum(axis=1, keepdims=True)), 1e-12)
     v = least * u + np.sqrt(1 - least**2) * turn
     v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
-    at = np.arange(len(u))
-    needed = np.minimum(grid.excess(u)[at, grid.homes(v)], grid.excess(v)[at, grid.homes(u)])
+    needed, part = [], grid.rows_at_a_time()
+    for s in range(0, len(u), part):
+        ends, away = (u[s : s + part], v[s : s + part]), []
+        for a, b in (ends, ends[::-1]):
+            (first, second), (i, j), row = grid.beyond(a), grid.homes(b), np.arange(len(a))
+            away.append(first[row, i] + second[row, j])
+        needed.append(np.minimum(*away))
+    needed = np.concatenate(needed)
     return Grid(grid.books, float(np.quantile(needed, recall)) + 1e-9)
 
 
@@ -135,10 +150,10 @@ def _router(grid: Grid):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 4096):
-                part = batch.slice(begin, 4096)
-                first, second = grid.halves(_unit(part.column(3)))
-                first, second = first - first.min(axis=1, keepdims=True), second - second.min(axis=1, keepdims=True)
+            step = min(4096, grid.rows_at_a_time())
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                first, second = grid.beyond(_unit(part.column(3)))
                 cells = [visits(f, s, grid.slack) for f, s in zip(first, second, strict=True)]
                 n = np.array([len(c) for c in cells])
                 home = np.zeros(n.sum(), bool)
@@ -165,13 +180,14 @@ def _tile_links(grid: Grid, least: float):
             return pa.table({k: pa.array(empty, pa.int64()) for k in names})
         x = _unit(table.column("vec"))
         forest, counts = Forest(len(ids)), np.zeros(len(ids), np.int64)
-        excess, cells = grid.excess(x[h]), grid.homes(x[v])
+        first, second = grid.beyond(x[h])  # by halves: the table of all cells isn't made
+        i_home, j_home = grid.homes(x[v])
         for s in range(0, len(v), 512):
             own = v[s : s + 512]
             linked = (x[own] @ x[h].T >= least) & (ids[own][:, None] != ids[h][None])
             i, j = np.nonzero(linked)
             np.add.at(counts, own[i], weights[h[j]])
-            missed = excess[j, cells[s + i]] > grid.slack
+            missed = first[j, i_home[s + i]] + second[j, j_home[s + i]] > grid.slack
             np.add.at(counts, h[j[missed]], weights[own[i[missed]]])
             forest.add(own[i], h[j])
         some = np.flatnonzero(counts)
@@ -186,7 +202,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, codes: int
     """vec_id, n_links, component_id, kept of every row."""
     values = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vid"), F.col("label").cast("long").alias("label"), F.when(F.coalesce(fine, F.lit(False)), F.transform(values, lambda v: v + 0.0)).alias("values"))
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vid"), "label", F.when(F.coalesce(fine, F.lit(False)), F.transform(values, lambda v: v + 0.0)).alias("values"))
     rows = written(rows, "vectors")
     # equal vectors of a label are one class: its id is the smallest vec_id
     classes = rows.where("values is not null").groupBy("label", "values").agg(F.min("vid").alias("id"), F.count("*").alias("weight"))
@@ -219,18 +235,20 @@ def _pack(values):
             x = flat.flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "weight", "vec"])
 
-    return map_batches(values.select("id", "label", "weight", "values"), run, "id long, label long, weight long, vec binary")
+    return map_batches(values.select("id", "label", "weight", "values"), run, f"id long, label {values.schema['label'].dataType.simpleString()}, weight long, vec binary")
 
 
 def _links_of_length(classes: DataFrame, dims: int, least: float, codes: int | None, tile: int) -> DataFrame:
     """Rows (id, links) of visitors' counts and (a, b) of forests, for vectors of one length."""
     packed = written(_pack(classes), "vector-packed")
     n = packed.count()
-    share = min(1.0, TRAIN_ROWS / n)
-    draw = packed.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else packed
-    x = _unit(pa.array([r["vec"] for r in draw.orderBy("id", "vec").limit(2 * TRAIN_ROWS).select("vec").collect()], pa.binary()))
-    grid = fit(x, codes or int(min(256, max(4, (n / 512) ** 0.5))), least)
-    routed = map_batches(packed, _router(grid), "id long, label long, weight long, vec binary, cell int, home boolean")
+    codes = codes or int(min(MOST_TRAIN_ROWS // CENTRE_ROWS, max(4, (n / 512) ** 0.5)))
+    train = max(TRAIN_ROWS, CENTRE_ROWS * codes)
+    share = min(1.0, train / n)
+    draw = packed.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else packed
+    x = _unit(pa.array([r["vec"] for r in draw.orderBy("id", "vec").limit(2 * train).select("vec").collect()], pa.binary()))
+    grid = fit(x, codes, least)
+    routed = map_batches(packed, _router(grid), f"id long, label {packed.schema['label'].dataType.simpleString()}, weight long, vec binary, cell int, home boolean")
     routed = written(routed, "vector-cells")
     # tiles of a cell: visitors meet each home tile, home rows each visitor tile
     sizes = routed.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / tile).cast("int").alias("home_tiles"), F.ceil(F.count("*") / tile).cast("int").alias("visitor_tiles")).where("home_tiles > 0")
