@@ -6,8 +6,16 @@ rounded in pairs: two documents exchange probability so that the words they are
 stay the same, until one of the two is taken or left for good; the direction is drawn so that every
 document keeps its expected copies. What one pair leaves undecided meets the next document. Blocks
 of documents are rounded side by side, each leaves a few undecided documents, and those are rounded
-again in blocks, up a tree, until one block of each source is left. That one decides all, and turns
-over a few of its documents, most often small ones, to come as near to the target as they allow.
+again in blocks, up a tree, until one block of each source is left. That one decides all.
+
+The last step isn't pivotal rounding: of the last block, at most TURNS documents of a source are turned over,
+each the one that brings the source's words nearest to its target, as one large document left to chance
+could miss it by its whole size. It biases what it touches: such a document's expected copies aren't its
+fraction any more. It is a choice of at most BLOCK documents of a source, whatever the source's size; all
+other documents keep their expected copies.
+
+Documents that are alike in id, size and source are counted before they are shuffled and numbered from their
+count, so that a block holds a bounded number of rows, whichever ids or copies the rows share.
 
 Edge cases: a null text has size 0 and is never taken more than its whole number of copies; a null
 source is a source of its own, last in order; an empty table gives no rows; rows that repeat are
@@ -31,7 +39,11 @@ BLOCK = 1024
 RESERVE = 3
 #: Most documents of a source that are turned over at the end.
 TURNS = 32
-_SCHEMA = "doc_id long, size long, source_size long, target double, taken long, source_at int, left double, draw long"
+#: Copies of like documents that one task makes out of their count.
+COPIES = 100_000
+#: Most sources that are broadcast; the list of more is joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+_SCHEMA = "doc_id long, size long, source_size long, target double, taken long, source_at int, count long, left double, draw long"
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -> list[float]:
@@ -118,33 +130,46 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     is a catalogue the driver can hold; documents and undecided documents stay on the executors.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("source").cast("string").alias("source"))
-    sized = written(sized, "mix-sizes")
-    catalogue = sorted(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    alike = written(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("alike")), "mix-sizes")
+    sums = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("size"), F.sum("alike").alias("n"), F.max("alike").alias("most"))
+    catalogue = sorted(sums.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     if not catalogue:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    sizes = [int(r["size"]) for r in catalogue]
+        return alike.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+    sizes, counts = [int(r["size"]) for r in catalogue], [int(r["n"]) for r in catalogue]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    plan = sized.sparkSession.createDataFrame([(r["source"], i, sizes[i], wanted[i], wanted[i] / sizes[i] if sizes[i] else 0.0) for i, r in enumerate(catalogue)], "source string, source_at int, source_size long, target double, copies double")
-    plan = F.broadcast(plan.withColumnRenamed("source", "plan_source"))
+    plan = sized.sparkSession.createDataFrame([(r["source"], i, sizes[i], counts[i], wanted[i], wanted[i] / sizes[i] if sizes[i] else 0.0) for i, r in enumerate(catalogue)], "plan_source string, source_at int, source_size long, count long, target double, copies double")
+    if len(catalogue) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     whole = F.floor("copies")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * whole).cast("long").alias("taken"), "source_at", (F.col("copies") - whole).alias("left"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
+    rows = _numbered(alike, max(int(r["most"]) for r in catalogue)).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    rows = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * whole).cast("long").alias("taken"), "source_at", "count", (F.col("copies") - whole).alias("left"), F.xxhash64(F.lit(seed), "doc_id", "size", "number").alias("draw"))
 
-    undecided, done, level = rows, [], 0
-    counts = [int(r["n"]) for r in catalogue]
+    undecided, done, level, largest = rows, [], 0, max(counts)
     while True:
-        last = max(counts) <= block
-        blocks = [max(1, -(-n // block)) for n in counts]
-        blocks_of = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("source_at") + 1)
-        key = F.pmod(F.xxhash64("draw", F.lit(level)), blocks_of)
+        last = largest <= block
+        blocks = F.ceil(F.col("count") / block)
+        key = F.pmod(F.xxhash64("draw", F.lit(level)), blocks)
         rounded = undecided.withColumn("draw", F.xxhash64("draw", F.lit(f"level {level}"))).groupBy("source_at", key.alias("block")).applyInArrow(_rounder(last), _SCHEMA)
         if last:
             done.append(rounded)
             break
         rounded = written(rounded, f"mix-{level}")
         done.append(rounded.where("left = 0"))
-        undecided, level, counts = rounded.where("left > 0"), level + 1, [(RESERVE + 1) * n for n in blocks]
+        undecided, level = rounded.where("left > 0").withColumn("count", (blocks * (RESERVE + 1)).cast("long")), level + 1
+        largest = -(-largest // block) * (RESERVE + 1)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
+
+def _numbered(alike: DataFrame, most: int) -> DataFrame:
+    """A row with a number for each of the documents that a row of `alike` counts."""
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    if most <= COPIES:
+        return alike.withColumn("number", copies(F.col("alike")))
+    few, many = alike.where(F.col("alike") <= COPIES), alike.where(F.col("alike") > COPIES)
+    parts = many.withColumn("part", copies(F.ceil(F.col("alike") / COPIES))).repartition("source", "doc_id", "size", "part")
+    own = F.least(F.lit(COPIES).cast("long"), F.col("alike") - F.col("part") * COPIES)
+    numbered = parts.withColumn("at", copies(own)).withColumn("number", F.col("part") * COPIES + F.col("at")).drop("part", "at")
+    return few.withColumn("number", copies(F.col("alike"))).unionByName(numbered)
