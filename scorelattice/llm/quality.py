@@ -32,7 +32,11 @@ def statistics(docs: DataFrame, *carry: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
     base = docs.select(*carry, text.alias("_t"), words.alias("_w"))
-    base = base.select(*carry, "_t", "_w", F.size("_w").alias("_n"), F.greatest(F.length("_t"), F.lit(1)).alias("_c"), F.length(F.regexp_replace("_t", "[^A-Z]", "")).alias("_upper"), F.length(F.regexp_replace("_t", r"[^#$%&*|!?<>{}\[\]=~^@/\\_+]", "")).alias("_odd"), F.length(F.regexp_replace("_t", "[^0-9]", "")).alias("_digit"), F.length(F.regexp_replace("_t", r"[^.,;:]", "")).alias("_stop"), F.regexp_count("_t", F.lit("\n")).alias("_lines"), F.size(F.array_distinct(F.col("_w"))).alias("_u"), F.size(F.array_distinct(F.split("_t", "\n"))).alias("_ul"))
+    # what is left of a text without the runs of other characters: one short copy a class
+    only = lambda chars: F.length(F.regexp_replace("_t", f"[^{chars}]++", ""))
+    counts = {"_n": F.size("_w"), "_c": F.greatest(F.length("_t"), F.lit(1)), "_upper": only("A-Z"), "_odd": only(r"#$%&*|!?<>{}\[\]=~^@/\\_+"), "_digit": only("0-9"), "_stop": only(".,;:"), "_u": F.size(F.array_distinct("_w"))}
+    lines = F.split("_t", "\n")
+    base = base.select(*carry, "_t", *[c.alias(k) for k, c in counts.items()], (F.size(lines) - 1).alias("_lines"), F.size(F.array_distinct(lines)).alias("_ul"))
     filled = F.length(F.trim("_t")) > 0
     zero = lambda c: F.when(filled, c).otherwise(F.lit(0.0)).cast("double")
     return base.select(
