@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import map_batches, written
+from scorelattice.llm.common import dropped, map_batches, written
 
 #: A node with more than 1/HOT of all edges is hot; there are at most 2 * HOT of them.
 HOT = 256
@@ -85,7 +85,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = down.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n"))
         small = _with_least(down, least, hot)
         links = small.where("other != least").select(F.col("other").alias("a"), F.col("least").alias("b"))
-        edges = written(links.unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct(), "small-star")
+        old, edges = edges, written(links.unionByName(least.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct(), "small-star")
+        dropped(old, large)
         now = _state(edges)
         if now == before:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelattice.llm.common import NO_ID, map_batches, order_key, written
+from scorelattice.llm.common import NO_ID, dropped, map_batches, order_key, written
 from scorelattice.llm.components import components
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
@@ -238,8 +238,9 @@ def kept_rows(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     groups = components(fingerprint_links(classes.select("fp", F.col("fp").alias("id")), limit))
     grouped = classes.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
     first = written(grouped.select("first.*"), "simhash-kept")
-    kept = docs.withColumns({"_kept_id": order_key(F.col("doc_id")), "_kept_row": row})
-    kept = kept.join(first, (F.col("_kept_id") == first.kept_id) & (F.col("_kept_row") == first.kept_row)).drop("kept_id", "kept_row")
+    dropped(marked, classes)
+    # a row travels as one column, so that no name of its own can clash
+    kept = docs.select(order_key(F.col("doc_id")).alias("kept_id"), row.alias("kept_row"), F.struct("*").alias("row")).join(first, ["kept_id", "kept_row"])
     # rows alike in every column: one of them
-    many = kept.where("n > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_kept_id", "_kept_row").orderBy("_kept_id"))).where("_at = 1").drop("_at")
-    return kept.where("n = 1").unionByName(many).select(*docs.columns)
+    many = kept.where("n > 1").withColumn("at", F.row_number().over(Window.partitionBy("kept_id", "kept_row").orderBy("n"))).where("at = 1").drop("at")
+    return kept.where("n = 1").unionByName(many).select("row.*")
