@@ -264,6 +264,32 @@ def test_embedding_edges(spark):
     assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(same).collect()) == [(4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (6, 0, 6, True)]
 
 
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.9, 1.2, None]), ("string", ["a", "b", "a", None]), ("int", [1, 2, 1, None]), ("decimal(9,2)", ["1.20", "1.90", "1.2", None])])
+def test_labels_are_compared_in_their_own_type(spark, kind, labels):
+    rows = spark.createDataFrame([(k, [1.0, 2.0, 3.0 + k / 100], None if x is None else str(x)) for k, x in enumerate(labels)], "vec_id long, embedding array<double>, label string")
+    out = embedding_dedup.near_duplicates(rows.withColumn("label", F.col("label").cast(kind)))
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 0, True), (1, 0, 1, True), (2, 1, 0, False), (3, 0, 3, True)]
+
+
+def test_memory_does_not_grow_with_the_cells():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 16))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    tile = pa.table({"id": np.arange(2048), "weight": np.ones(2048, int), "vec": [r.tobytes() for r in x[:2048]], "is_home": np.arange(2048) < 1024})
+    peaks = []
+    for codes in (64, 512):  # 4,096 and 262,144 cells
+        tracemalloc.start()
+        grid = embedding_dedup.fit(x, codes, 0.93)
+        embedding_dedup._tile_links(grid, 0.93)(tile)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 150_000_000
+
+
 def test_traversal_order():
     rng = np.random.default_rng(2)
     for _ in range(100):
@@ -316,6 +342,101 @@ def test_rounding_is_unbiased():
     assert np.abs(mean - 0.3).max() < 0.06
 
 
+def plain_targets(sizes, weights):
+    """The level at which capped shares add up to the total, by bisection."""
+    total = min(sum(sizes), 3 * sum(sizes))
+    lo, hi = 0.0, 3.0 * max(sizes, default=0) + 1
+    for _ in range(300):
+        level = (lo + hi) / 2
+        lo, hi = (lo, level) if sum(min(w * level, 3 * s) for s, w in zip(sizes, weights, strict=True)) >= total else (level, hi)
+    return [min(w * hi, 3 * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets_against_bisection():
+    rnd = random.Random(8)
+    for _ in range(200):
+        sizes = [rnd.choice([0, rnd.randrange(1, 10), rnd.randrange(1, 5000)]) for _ in range(rnd.randrange(1, 9))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert mixing.targets(sizes, weights) == pytest.approx(plain_targets(sizes, weights), rel=1e-6, abs=1e-6)
+
+
+def plain_pivotal(documents, fraction, turns):
+    """Copies (0 or 1) of each (size, dice) in order: Srswor-like duels by expected words, from the definition."""
+    p = [fraction if size else 0.0 for size, _ in documents]
+    open_ = [k for k, (size, _) in enumerate(documents) if size and 0 < fraction < 1]
+    fighter = None
+    for k in open_:
+        if fighter is None:
+            fighter = k
+            continue
+        (wa, _), (wb, dice) = documents[fighter], documents[k]
+        gain = min((1 - p[fighter]) * wa, p[k] * wb)  # words that may move from k to the fighter
+        loss = min(p[fighter] * wa, (1 - p[k]) * wb)
+        moved = gain if dice < loss / (gain + loss) else -loss
+        p[fighter] += moved / wa
+        p[k] -= moved / wb
+        for x in (fighter, k):
+            p[x] = 0.0 if p[x] < 1e-9 else 1.0 if p[x] > 1 - 1e-9 else p[x]
+        undecided = [x for x in (fighter, k) if 0 < p[x] < 1]
+        fighter = undecided[0] if undecided else None
+    if fighter is not None:
+        p[fighter] = float(documents[fighter][1] < p[fighter])
+    words = lambda: sum(p[k] * documents[k][0] for k in open_)
+    wanted = fraction * sum(documents[k][0] for k in open_)
+    for _ in range(turns):
+        tries = [abs(words() + (1 - 2 * p[k]) * documents[k][0] - wanted) for k in open_]
+        if not tries or min(tries) >= abs(words() - wanted):
+            break
+        p[open_[tries.index(min(tries))]] = 1 - p[open_[tries.index(min(tries))]]
+    return p
+
+
+def test_mix_against_plain_pivotal_rounding(spark, documents, prose):
+    rnd = random.Random(12)
+    rows = [(i, prose(i, rnd.randrange(0, 60)) or None, None, rnd.choice("abc")) for i in range(300)]
+    size = {i: len(WORD.findall(t or "")) for i, t, _, _ in rows}
+    draws = spark.createDataFrame([(i, n) for i, n in size.items()], "doc_id long, size long").select("doc_id", F.xxhash64(F.xxhash64(F.lit(7), "doc_id", "size", F.lit(0).cast("long")), F.lit("level 0")).alias("draw"))
+    draw = {r["doc_id"]: r["draw"] for r in draws.collect()}
+    out = {r["doc_id"]: r for r in mixing.mix_sources(documents(rows)).collect()}
+    want = plain_targets([sum(size[i] for i, _, _, s in rows if s == x) for x in "abc"], [5, 2, 1])
+    for x, target in zip("abc", want, strict=True):
+        own = sorted((i for i, _, _, s in rows if s == x), key=lambda i: draw[i])
+        copies = target / sum(size[i] for i in own)
+        dice = lambda i: (int(mixing.mix(np.array([draw[i]], np.int64).astype(np.uint64))[0]) >> 11) / 2**53
+        taken = plain_pivotal([(size[i], dice(i)) for i in own], copies - int(copies), mixing.TURNS)
+        assert [out[i]["taken"] for i in own] == [int(size[i] * (int(copies) + p)) for i, p in zip(own, taken, strict=True)]
+        assert abs(sum(out[i]["taken"] for i in own) - target) <= 3
+
+
+def test_rows_that_share_an_id_are_spread_over_blocks(documents, monkeypatch):
+    """A third of all rows alike in every column, and as many without an id."""
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    rows = [(None, "a b c", None, "x")] * 400 + [(7, "d " * 9, None, "x")] * 400 + [(i, "e " * (i % 30), None, "y") for i in range(400)]
+    seen = []
+    rounder = mixing._rounder
+
+    def watched(last):
+        run = rounder(last)
+
+        def checked(table):
+            assert table.num_rows <= 200, table.num_rows
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(mixing, "_rounder", watched)
+    out = mixing.mix_sources(documents(rows), block=64).collect()
+    assert len(out) == 1200
+    for size, n in ((3, 400), (9, 400)):
+        seen = [r["taken"] for r in out if r["size"] == size and (r["doc_id"] in (None, 7))]
+        assert len(seen) == n
+    x = [r for r in out if r["doc_id"] is None or (r["doc_id"] == 7 and r["size"] == 9)]
+    assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 9
+    again = mixing.mix_sources(documents(rows[::-1]).repartition(3), block=64).collect()
+    key = lambda rs: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in rs)
+    assert key(out) == key(again)
+
+
 def test_mix_of_nothing(documents):
     assert mixing.mix_sources(documents([(1, "a")]).limit(0)).count() == 0
 
@@ -375,6 +496,25 @@ def test_near_duplicate_stage_keeps_rows_of_other_groups(spark, documents, prose
     copies = [(3, text[0]), (5, text[0]), (8, text[5]), (7, text[6]), (7, text[6])]
     # rows without an id, and rows that share one: some copies of others, some with texts of their own
     loose = [(None, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[5]), (5, text[4]), (9, text[7]), (9, text[8])]
-    out = corpus_pipeline.drop_near_duplicates(spark, documents(copies + loose), "")
+    clashing = documents(copies + loose).selectExpr("*", "1 n", "2 row", "3 kept_id", "4 kept_row", "5 first", "6 at", "7 node", "8 `group`")
+    out = corpus_pipeline.drop_near_duplicates(spark, clashing, "")
+    assert out.dtypes == clashing.dtypes
     got = sorted((r["doc_id"] or 0, text.index(r["text"])) for r in out.collect())
     assert got == [(0, 1), (0, 2), (0, 3), (3, 0), (5, 4), (7, 6), (8, 5), (9, 7), (9, 8)]
+
+
+def test_every_stage_survives_clashing_names(spark, documents, prose, tmp_path):
+    """Extra columns with the names that operators use, nulls, empty and repeated rows, through all stages."""
+    import corpus_pipeline
+
+    names = "n row kept_id kept_row first at node root group order_id mark_id kept size taken target source_at plan_source copies draw left count alike number part items contaminated".split()
+    rows = [(k, prose(k, 60), "en", "s") for k in range(12)] + [(None, prose(90, 60), "en", None), (3, prose(3, 60), "en", "s"), (50, None, None, None), (51, "", "en", "s"), (52, prose(52, 60) + " a@b.co", None, "s")]
+    docs = documents(rows).selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names) if n not in ("size",)])
+    spark.createDataFrame([(1, prose(400, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.dtypes == docs.dtypes, name
+            assert out.count() >= 13, name
+        else:
+            assert out.count() == len(rows)

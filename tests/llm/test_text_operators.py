@@ -67,9 +67,152 @@ def test_language_against_plain_counting():
         assert {decode(int(c)): int(n) for c, n in zip(codes, counts, strict=True)} == dict(grams(text))
 
 
+def test_language_against_plain_out_of_place_distance(documents, collected):
+    """Profiles, distances and the ranking of languages, by dictionaries of strings."""
+    from collections import Counter
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            out.update(w)
+            padded = f" {w} "
+            out.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+        return out
+
+    def code(g):
+        return int.from_bytes(b"".join(ord(c).to_bytes(4, "big") for c in g.rjust(3, "\0")), "big")
+
+    def ranked(counts, size):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    DE = "der die und das nicht mit sich auf für ist ein eine auch werden über größe schön"
+    rnd = random.Random(6)
+    langs = {"en": EN, "fr": FR, "de": DE}
+    rows = [(i, sentences(langs[x], i, rnd.randrange(3, 40)), x) for i in range(90) for x in [list(langs)[i % 3]]]
+    rows += [(200 + i, sentences(EN + " " + FR + " " + DE, i, rnd.choice([1, 4, 30])), None) for i in range(60)] + [(300, "xyz", None)]
+    profiles, size = {}, lang_id.PROFILE
+    for x in sorted(langs):
+        counts = Counter()
+        for i, t, lang in rows:
+            if lang == x and zlib.crc32(str(i).encode()) % 5:
+                counts += grams(t)
+        profiles[x] = {g: k for k, g in enumerate(ranked(counts, size))}
+    df = documents(rows)
+    out = collected(lang_id.predict(df, lang_id.train(df)))
+    for i, t, _ in rows:
+        own = ranked(grams(t), size)
+        distance = {x: sum(abs(k - p[g]) if g in p else size for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(distance, key=lambda x: (distance[x], x))
+        assert out[i]["lang_pred"] == best and out[i]["score"] == pytest.approx(1 - distance[best] / (len(own) * size)), t
+
+
 # --- quality --------------------------------------------------------------
 
 
+def plain_statistics(t):
+    """The statistics of a text, a character and a word at a time."""
+    t = t or ""
+    if not t.strip(" "):
+        return dict.fromkeys(["log_words", "word_length", "upper_share", "symbol_share", "symbols_a_word", "digit_share", "stops_a_word", "distinct_words", "word_repeats", "distinct_lines", "lines_a_word"], 0.0)
+    words = re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ").split(" ")
+    n, c, u, lines = len(words), len(t), len(set(words)), t.split("\n")
+    count = lambda chars: sum(x in chars for x in t)
+    odd, stops = count("#$%&*|!?<>{}[]=~^@/\\_+"), count(".,;:")
+    return {"log_words": np.log1p(n), "word_length": c / n, "upper_share": sum("A" <= x <= "Z" for x in t) / c, "symbol_share": odd / c, "symbols_a_word": odd / n, "digit_share": sum("0" <= x <= "9" for x in t) / c, "stops_a_word": stops / n, "distinct_words": u / n, "word_repeats": n / np.sqrt(u), "distinct_lines": len(set(lines)) / len(lines), "lines_a_word": len(lines) / n}
+
+
+def test_statistics_against_plain_counting(documents, prose):
+    rnd = random.Random(3)
+    bits = ["A", "z", "é", "9", " ", "  ", "\n", "\t", "#", "[x]", "a_b", "\\", ".", ",;:", "日本", "word", "\n\n"]
+    rows = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randrange(60)))) for k in range(300)] + [(400, None), (401, ""), (402, " "), (403, "\n"), (404, prose(1, 4000))]
+    by_id = dict(rows)
+    for r in quality.statistics(documents(rows), "doc_id").collect():
+        want = plain_statistics(by_id[r["doc_id"]])
+        assert {k: r[k] for k in want} == pytest.approx(want), by_id[r["doc_id"]]
+
+
+def plain_tree(x, residual, names, rows, cols, depth):
+    """Paths of a least-squares tree by trying every cut of every column."""
+    paths = []
+
+    def cost(own):
+        return sum((residual[i] - sum(residual[j] for j in own) / len(own)) ** 2 for i in own)
+
+    def grow(own, path, left):
+        best = None
+        if left and len(own) >= 2 * quality.MIN_LEAF:
+            for j in cols:
+                values = [x[i][j] for i in own]
+                for cut in sorted(set(np.quantile(values, np.linspace(0, 1, quality.CUTS + 2)[1:-1]).tolist())):
+                    low, high = [i for i in own if x[i][j] <= cut], [i for i in own if x[i][j] > cut]
+                    if min(len(low), len(high)) >= quality.MIN_LEAF:
+                        saved = cost(own) - cost(low) - cost(high)
+                        if best is None or saved > best[0] + 1e-9:
+                            best = (saved, j, cut, low, high)
+        if best is None or best[0] <= 1e-9:
+            return
+        _, j, cut, low, high = best
+        for most, part in ((True, low), (False, high)):
+            paths.append((*path, (names[j], most, cut)))
+            grow(part, paths[-1], left - 1)
+
+    grow(rows, (), depth)
+    return paths
+
+
+def test_tree_paths_against_every_cut():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3))
+    residual = np.where(x[:, 0] > 0.3, 1.0, -0.5) + np.where((x[:, 1] > 0) & (x[:, 0] > 0.3), 2.0, 0) + rng.normal(size=120) * 0.1
+    names, rows, cols = ["a", "b", "c"], np.arange(0, 120, 1), np.arange(3)
+    found, fit = quality.tree_paths(x, residual, names, rows, cols, 3)
+    want = plain_tree(x.tolist(), residual.tolist(), names, rows.tolist(), cols.tolist(), 3)
+    assert [[(n, m, pytest.approx(c)) for n, m, c in p] for p in found] == [list(p) for p in want]
+    leaves = [p for p in found if not any(q[: len(p)] == p and q != p for q in found)]
+    for p in leaves:  # the fit is the mean of what lies in a leaf
+        own = quality.Rule(p).holds(dict(zip(names, x.T, strict=True)))
+        assert fit[own] == pytest.approx(np.full(own.sum(), residual[own].mean()))
+
+
+def test_lasso_against_coordinate_descent():
+    """The minimum of the penalised loss, found one weight at a time; and that no step away from it is better."""
+    rng = np.random.default_rng(5)
+    h = rng.normal(size=(300, 6))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(1.5 * h[:, 0] - h[:, 2] + 0.3)))).astype(float)
+    penalty = 0.03
+    loss = lambda w, b: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * (h @ w + b)))) + penalty * np.abs(w).sum())
+    w, b = quality.lasso(h, y, penalty, steps=3000)
+    pw, pb, step = np.zeros(6), 0.0, 1.0
+    while step > 1e-6:
+        better = False
+        for k in range(7):
+            for d in (step, -step):
+                nw, nb = pw.copy(), pb
+                if k < 6:
+                    nw[k] = 0.0 if nw[k] * (nw[k] + d) < 0 else nw[k] + d
+                else:
+                    nb += d
+                if loss(nw, nb) < loss(pw, pb) - 1e-12:
+                    pw, pb, better = nw, nb, True
+        step = step if better else step / 2
+    assert loss(w, b) == pytest.approx(loss(pw, pb), abs=1e-6)
+    assert w == pytest.approx(pw, abs=2e-3) and b == pytest.approx(pb, abs=2e-3)
+    assert ((np.abs(w) < 1e-6) == (np.abs(pw) < 1e-4)).all() and (np.abs(w) < 1e-6).any()
+
+
+def test_score_is_the_sum_of_the_rules(spark, documents, prose):
+    """A fitted model's column against its rules, read one condition at a time."""
+    rows = [(i, prose(i, 20 + i % 50) if i % 3 else " ".join(["Junk ### $$$ 99"] * (i % 40))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 and i % 7 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality.train(documents(rows), labels)
+    assert len(model.rules) > 3
+    for r in quality.score(documents(rows), model).collect():
+        x = plain_statistics(rows[r["doc_id"]][1])
+        z = model.intercept + sum(w for rule, w in model.rules if all((x[n] <= c) == most for n, most, c in rule.terms))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+
 def test_quality_learns_and_scores(spark, documents, collected, prose):
     rows = [(i, prose(i, 60) if i % 3 else " ".join(["junk ### $$$"] * 20)) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
@@ -119,6 +262,52 @@ def test_secrets_against_brute_force(documents):
         assert [s for s in r["spans"].split(",") if s and not s.startswith("entropy")] == base
 
 
+def slow_added(t):
+    """Candidates that overlap no base span and aren't listed or announced, by plain Python."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in base_secrets(t)]
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}", t):
+        v = m[0]
+        if any(s < m.end() and m.start() < e for s, e in base) or any(re.search(p.replace("++)", "+)").replace("++", "+"), v) for p in secrets.ALLOWED):
+            continue
+        if re.search(secrets.DIGEST, v) and re.search(secrets.ANNOUNCED, t[max(0, m.start() - secrets.ANNOUNCED_CHARS) : m.start()]):
+            continue
+        least = next(bits for _, allowed, bits in secrets.CLASSES if re.search(allowed, v))
+        if max(entropy(v[i : i + 20]) for i in range(len(v) - 19)) >= least - 1e-12:
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans_against_brute_force(documents):
+    rnd = random.Random(17)
+    token = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    bits = ["token=", "secret: ", "password=token", '":"', "\uffff", "\ufffe", "é", " ", " ", ".", "AKIA" + "Q7" * 9, "0f" * 13, "md5 (", ") = ", "sha256: ", "9F86D081884C7D659A2FEAA0C55AD015"]
+    rows = [(i, "".join(rnd.choice([rnd.choice(bits), token(rnd.randrange(3, 45))]) for _ in range(rnd.randrange(25)))) for i in range(500)]
+    rows += [(900, " ".join(token(30) for _ in range(300))), (901, "token=abcdef " * 200 + token(30)), (902, token(9000))]
+    by_id, n = dict(rows), 0
+    for r in secrets.scan(documents(rows)).collect():
+        want = slow_added(by_id[r["doc_id"]])
+        assert [s for s in r["spans"].split(",") if s.startswith("entropy")] == want, by_id[r["doc_id"]]
+        n += len(want)
+    assert n > 700
+
+
+def test_secrets_take_linear_time(documents):
+    import time
+
+    def seconds(n):
+        rnd = random.Random(2)
+        parts = ["token=abcdef12", "AKIA" + "Z9" * 9, "0f" * 12, "Zk3xQ9vT7bN2mL8wR4yU6pA1"]
+        df = documents([(1, " ".join(rnd.choice(parts) for _ in range(n)))]).cache()
+        df.count()
+        began = time.perf_counter()
+        assert sum(secrets.scan(df).select("n_assign", "n_access", "n_hex", "n_entropy").first()) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(40_000) for _ in range(2)) < 2.5 * min(seconds(20_000) for _ in range(2)) + 0.3
+
+
 def entropy(s):
     _, n = np.unique(list(s), return_counts=True)
     p = n / n.sum()
