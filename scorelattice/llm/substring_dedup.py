@@ -44,7 +44,7 @@ LEAST_BUCKETS = 64
 BUCKET_BYTES = 16_000_000
 #: Most rows that a chunk sends to the buckets.
 FAN = 4096
-CHUNK_TEXT = 8 << 20
+CHUNK_TEXT = 4 << 20
 #: Bytes that a task of the second shuffle gathers before it cuts them.
 HELD_BYTES = 48 << 20
 _FLAT = "bucket int, kind string, chunk long, segments binary, ids binary, hashes binary, gaps binary, parts binary"
@@ -144,6 +144,12 @@ def window_hashes(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nd
     return one, other, per
 
 
+def _stored(one: np.ndarray, other: np.ndarray, per: np.ndarray, buckets: Buckets) -> tuple[np.ndarray, ...]:
+    """(64 bits, 16 bits that are stored of each window, its bucket, windows of each document)."""
+    a = (one & np.uint64((1 << 48) - 1)) | (other << np.uint64(48))
+    return a, (other >> np.uint64(16)).astype(np.uint16), buckets.of(one).astype(np.int32), per
+
+
 def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(stable order by (a, b), where in that order a new pair starts)."""
     order = np.argsort(a, kind="stable")
@@ -159,27 +165,28 @@ def ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def chunk_rows(ids: np.ndarray, sigs: np.ndarray, text: pa.Array, width: int, buckets: Buckets) -> list[tuple]:
     """The rows of a chunk of documents in the order of their ids: one with the documents, one for each group of buckets."""
     data, offs = utf8(text)
-    found = [window_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width) for i, j in chunks(offs)]
-    per = np.concatenate([np.zeros(0, np.int64), *[f[2] for f in found]])
+    found = [_stored(*window_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width), buckets) for i, j in chunks(offs)]
+    per = np.concatenate([np.zeros(0, np.int64), *[f[3] for f in found]])
     some = per > 0
     if not some.any():
         return []
-    one, other = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    a, b, at = (np.concatenate([f[k] for f in found]) for k in range(3))
+    del found
     ids, sigs, per = ids[some], sigs[some], per[some]
-    a = (one & np.uint64((1 << 48) - 1)) | (other << np.uint64(48))
-    b, at = (other >> np.uint64(16)) & np.uint64(0xFFFF), buckets.of(one)
     # the first of equal windows stands for the others
-    order, start = ordered(a, (at.view(np.uint64) << np.uint64(16)) | b)
-    stands = np.empty(len(a), np.int64)
+    order, start = ordered(a, (at.astype(np.uint64) << np.uint64(16)) | b)
+    stands = np.empty(len(a), np.int32)
     stands[order] = np.repeat(order[start], np.diff(np.append(start, len(a))))
-    rest = np.flatnonzero(stands != np.arange(len(a)))
+    del order, start
+    firsts = stands == np.arange(len(a), dtype=np.int32)
+    sent, rest = np.flatnonzero(firsts), np.flatnonzero(~firsts)
     owner = np.repeat(ids, per)
     later = owner[rest] > owner[stands[rest]]
     tied = rest[~later]  # of the same document as their first: repeats if that one is
     docs = _pack_docs(ids, per)
     chunk = xxhash.xxh64_intdigest(docs + sigs.tobytes()) - (1 << 63)
     rows = [_row(chunk % buckets.n, "docs", chunk, deltas(tied, 4) + plane(stands[tied], 4), docs, sigs.tobytes(), deltas(rest[later], 4))]
-    sent = np.flatnonzero(stands == np.arange(len(a)))
+    del stands, rest, later, tied, firsts
     group = at[sent] // buckets.per
     by = np.argsort(group, kind="stable")
     cut = np.searchsorted(group[by], np.arange(buckets.groups + 1))
