@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorelattice.functions.pitch import let
 from scorelattice.operators import folds
 
 CELL = ("score_id", "measure_index", "part_idx")
@@ -184,41 +185,45 @@ def bucketize(notes: DataFrame, units_per_measure: int) -> DataFrame:
     return folds.by_key(notes.select("score_id", "part_idx", "measure_index", "seq", "units"), ["score_id", "part_idx"], ["measure_index", "seq"], pour, _BUCKETS)
 
 
-_CELLS = "score_id long, part_idx long, out_index long, cell_index long"
+def played_order(signs: Column, empty: Column, last: Column) -> Column:
+    """Cells of a part in the order they are played, an array of indexes.
+
+    signs: array of struct(cell, ends) of the repeat signs, sorted; empty: the indexes of empty cells;
+    last: the last index. A repeat end plays again what follows the last start, or the first cell that
+    isn't empty of all that was played so far; either way leading empty cells are skipped. Empty cells at
+    both ends are dropped.
+    """
+    empty_cells = "array<long>"
+    up_to = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast(empty_cells))
+
+    def after_empty(order: Column) -> Column:
+        first = F.array_position(F.transform(order, lambda c: F.array_contains(empty, c)), False)
+        return F.when(first > 0, F.slice(order, first.cast("int"), F.size(order))).otherwise(F.array().cast(empty_cells))
+
+    def step(acc: Column, sign: Column) -> Column:
+        to = sign["cell"] - F.when(sign["ends"], 0).otherwise(1)
+        order = F.concat(acc["order"], up_to(acc["next"], to))
+        following = F.greatest(acc["next"], to + 1)
+        again = let(order, lambda o: F.concat(o, after_empty(F.slice(o, acc["mark"] + 1, F.size(o)))))
+        started = F.struct(order.alias("order"), F.size(order).alias("mark"), following.alias("next"))
+        return F.when(sign["ends"], F.struct(again.alias("order"), F.lit(0).alias("mark"), following.alias("next"))).otherwise(started)
+
+    start = F.struct(F.array().cast(empty_cells).alias("order"), F.lit(0).alias("mark"), F.lit(0).cast("long").alias("next"))
+    order = F.aggregate(signs, start, step, lambda acc: F.concat(acc["order"], up_to(acc["next"], last)))
+    trimmed = let(let(order, after_empty), lambda o: let(F.reverse(o), after_empty))
+    return F.reverse(trimmed)
 
 
 def expand_barline_repeats(cells: DataFrame) -> DataFrame:
-    """Which cells are played in which order, given their repeat signs.
+    """Which cells are played in which order, given their repeat signs: score_id, part_idx, out_index, cell_index.
 
-    cells: score_id, part_idx, cell_index, empty, starts, ends. A repeat end plays again what follows the
-    last start, or the first cell that isn't empty of all that was played so far; either way leading
-    empty cells are skipped. Empty cells at both ends are dropped. A fold along one part.
+    cells: score_id, part_idx, cell_index, empty, starts, ends; a row for each cell from 0 on.
     """
-
-    def play(part: list) -> Iterator[tuple]:
-        order: list[int] = []
-        empty = {row.cell_index: row.empty for row in part}
-        mark = 0
-        for row in part:
-            if row.starts:
-                mark = len(order)
-            order.append(row.cell_index)
-            if row.ends:
-                order += list(_after_empty(order[mark:], empty))
-                mark = 0
-        order = list(_after_empty(order, empty))
-        order = list(_after_empty(order[::-1], empty))[::-1]
-        return ((part[0].score_id, part[0].part_idx, k, c) for k, c in enumerate(order))
-
-    return folds.by_key(cells.select("score_id", "part_idx", "cell_index", "empty", "starts", "ends"), ["score_id", "part_idx"], ["cell_index"], play, _CELLS)
-
-
-def _after_empty(order: list[int], empty: dict[int, bool]) -> Iterator[int]:
-    seen = False
-    for c in order:
-        seen = seen or not empty[c]
-        if seen:
-            yield c
+    index = F.col("cell_index").cast("long")
+    sign = lambda has, ends: F.collect_list(F.when(F.col(has), F.struct(index.alias("cell"), F.lit(ends).alias("ends"))))
+    parts = cells.groupBy("score_id", "part_idx").agg(F.concat(sign("starts", False), sign("ends", True)).alias("signs"), F.collect_list(F.when(F.col("empty"), index)).alias("none"), F.max(index).alias("last"))
+    order = parts.select("score_id", "part_idx", F.posexplode(played_order(F.array_sort("signs"), F.col("none"), F.col("last"))).alias("out_index", "cell_index"))
+    return order.withColumn("out_index", F.col("out_index").cast("long"))
 
 
 def pagination(measure_index: Column, usable_width: Column, measure_width: int = 200, margin: int = 60) -> Column:

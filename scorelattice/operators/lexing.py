@@ -1,7 +1,9 @@
 """Notation text to token rows, in Spark expressions.
 
 One lossless pattern cuts a text into pieces: every character belongs to a piece, so offsets are
-running sums of lengths. What a piece means is decided by further patterns on the piece alone.
+running sums of lengths over a score's pieces. The branch of the pattern that a piece came from shows in
+its first character, its last one and its length; further patterns read what is inside. The work
+grows in proportion to a text.
 
 scores: score_id, source. tokens: score_id, tok_idx, kind, raw, offset and the columns of ATTRIBUTES.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelattice.functions.pitch import absolute, clamped_alter, dotted, half_up, let, letter_fifths, lookup, units_of
 
@@ -40,6 +43,8 @@ PIECES = (
     ("lyric", rf"{_LYRIC}|[\s\S]"),
 )
 MASTER = "|".join(f"(?:{p})" for _, p in PIECES)
+#: What a pitch may hold beside its digit.
+_NO_DIGITS = "ABCDEFGabcdefg#x*!/t"
 #: The header, if the text begins with one.
 _SPACE_OR_COMMENT = r"(?:[ \t\n\r]++|;[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
 _HEADER_PARTS = r"(?:\d+/\d+|K[+-]\d+|(?i:DIV)\d+|D\d+|K[A-G][#b]?m?|(?:Treble|Bass|Alto|Tenor|Percussion|Soprano|Baritone|Te|Al|Pe|So|Br|T|B|A|N)(?=$|[^A-Za-z0-9]|[\dKD]))"
@@ -57,12 +62,26 @@ CLEFS = {"TREBLE": "TREBLE", "T": "TREBLE", "BASS": "BASS", "B": "BASS", "T8": "
 BARE_CLEFS = {k: CLEFS[k] for k in ("T", "B", "T8", "T-8", "A", "TE", "PE", "N", "SO", "BR")}
 
 
-def _kind(raw: Column) -> Column:
-    out = None
-    for kind, pattern in PIECES:
-        test = raw.rlike(rf"^(?:{pattern})\z")
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
+def kind_of(raw: Column) -> Column:
+    """The kind of a piece: the branch of the pattern that can begin as the piece does."""
+    first, last = F.left(raw, F.lit(1)), F.right(raw, F.lit(1))
+    alone = F.length(raw) == 1
+    return (
+        F.when(first.isin(" ", "\t", "\n", "\r"), "space")
+        .when((first.between("A", "G") | first.between("a", "g") | (first == "`")) & ~alone, "note")
+        .when(first == "|", "barline")
+        .when(first == "[", F.when((last == "]") & ~alone, "meta").otherwise("unclosedMeta"))
+        .when((first == ",") | (raw == ":,"), "measureBarrier")
+        .when(first == ":", "repeatBoundary")
+        .when(first == "+", "tie")
+        .when(first == ")", "tupletClose")
+        .when((first == "R") & ~alone, "rest")
+        .when(first.between("0", "9") & (last == "("), "tupletOpen")
+        .when(first == ";", "comment")
+        .when(raw.startswith("/*"), F.when(raw.endswith("*/") & (F.length(raw) > 3), "comment").otherwise("unclosedComment"))
+        .when((first == "'") & alone, "space")
+        .otherwise("lyric")
+    )
 
 
 # --- header ---------------------------------------------------------------
@@ -144,18 +163,16 @@ def _alter(text: Column) -> Column:
 
 
 def pitches(raw: Column) -> Column:
-    """The pitches of a note piece: array of struct(step, octave, alter)."""
-    heads = F.regexp_extract(raw, rf"^`{{0,2}}((?:{_PITCH})++)", 1)
-    each = F.regexp_extract_all(heads, F.lit(_PITCH), F.lit(0))
+    """The pitches of a note piece: array of struct(step, octave, alter). No mark after the length looks like one."""
 
     def one(p: Column) -> Column:
-        first = F.regexp_extract(p, r"^[A-Ga-g](\*|bb|[#bx])?", 1)
-        second = F.regexp_extract(p, r"^[A-Ga-g](?:\*|bb|[#bx])?[0-9](bb|[#bx*])?", 1)
+        digit = F.translate(p, _NO_DIGITS, "")
+        at = F.instr(p, digit)
+        first, second = p.substr(F.lit(2), at - 2), F.split_part(p.substr(at + 1, F.lit(2)), F.lit("!"), F.lit(1))
         alter = F.when(second == "*", 0).otherwise(_alter(first) + _alter(second))
-        octave = F.regexp_extract(p, r"([0-9])", 1).cast("int")
-        return F.struct(F.upper(F.substring(p, 1, 1)).alias("step"), octave.alias("octave"), clamped_alter(alter).cast("int").alias("alter"))
+        return F.struct(F.upper(F.left(p, F.lit(1))).alias("step"), digit.cast("int").alias("octave"), clamped_alter(alter).cast("int").alias("alter"))
 
-    return F.transform(each, one)
+    return F.transform(F.regexp_extract_all(raw, F.lit(_PITCH), F.lit(0)), one)
 
 
 def _suffixes(raw: Column) -> Column:
@@ -215,18 +232,13 @@ ATTRIBUTES = ("units", "dots", "pitches", "marks", "head", "grace", "slur_start"
 def pieces(scores: DataFrame) -> DataFrame:
     """score_id, div, piece, kind, raw, offset of every piece of the body, spaces and comments too.
 
-    Kinds are decided before the pieces become rows, so that later projections don't repeat the patterns.
+    Texts are dealt out by score while they are texts, so that nothing shuffles their many pieces.
     """
-    cut = scores.select("score_id", header(F.col("source")).alias("header"), body_start(F.col("source")).alias("start"), F.col("source"))
-    body = F.expr("substring(source, start + 1)")
-    found = cut.select("score_id", F.col("header.div").alias("div"), "start", F.regexp_extract_all(body, F.lit(MASTER), F.lit(0)).alias("raws"))
-    # offsets: a running sum of lengths, within the row
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    add = lambda acc, r: F.struct((acc["at"] + F.length(r)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    offsets = F.aggregate("raws", zero, add, lambda acc: acc["out"])
-    each = F.transform(F.arrays_zip(F.col("raws").alias("raw"), offsets.alias("at")), lambda p: F.struct(p["raw"].alias("raw"), p["at"].alias("at"), _kind(p["raw"]).alias("kind")))
-    rows = found.select("score_id", "div", "start", F.posexplode(each).alias("piece", "p"))
-    return rows.select("score_id", "div", "piece", F.col("p.kind").alias("kind"), F.col("p.raw").alias("raw"), (F.col("start") + F.col("p.at")).alias("offset"))
+    cut = scores.repartition("score_id").select("score_id", header(F.col("source"))["div"].alias("div"), body_start(F.col("source")).alias("start"), F.col("source"))
+    found = cut.select("score_id", "div", "start", F.posexplode(F.regexp_extract_all(F.expr("substring(source, start + 1)"), F.lit(MASTER), F.lit(0))).alias("piece", "raw"))
+    before = Window.partitionBy("score_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.col("start") + F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int")
+    return found.select("score_id", "div", "piece", kind_of(F.col("raw")).alias("kind"), "raw", offset.alias("offset"))
 
 
 def tokens(scores: DataFrame) -> DataFrame:
@@ -234,21 +246,21 @@ def tokens(scores: DataFrame) -> DataFrame:
     rows = pieces(scores).where(~F.col("kind").isin("space", "comment"))
     raw, kind = F.col("raw"), F.col("kind")
     is_note, is_meta = kind == "note", kind == "meta"
-    inner = F.regexp_extract(raw, r"^\[([\s\S]*)\]$", 1)
-    sounding = rf"^`{{0,2}}(?:{_PITCH})++({_LENGTH})(\.{{0,3}})"
-    letter = F.when(is_note, F.regexp_extract(raw, sounding, 1)).when(kind == "rest", F.substring(raw, 2, 1))
-    dots = F.when(is_note, F.length(F.regexp_extract(raw, sounding, 2))).when(kind == "rest", F.length(raw) - 2)
+    inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    # what follows the pitches: a letter and dots
+    rows = rows.withColumn("_length", F.when(is_note, F.regexp_extract(raw, rf"^`{{0,2}}(?:{_PITCH})++({_LENGTH}\.{{0,3}})", 1)).when(kind == "rest", F.expr("substring(raw, 2)")))
+    dots = F.length("_length") - 1
     grace = F.when(is_note & raw.startswith("``"), "acciaccatura").when(is_note & raw.startswith("`"), "grace")
     own = F.when(is_meta, inner)
     label_rest = F.regexp_replace(own, r"^(\d+|P)", "")
     values = {
-        "units": dotted(units_of(letter, F.col("div")), dots).cast("int"),
+        "units": dotted(units_of(F.left("_length", F.lit(1)), F.col("div")), dots).cast("int"),
         "dots": dots.cast("int"),
         "pitches": F.when(is_note, pitches(raw)),
         "marks": F.when(is_note, F.transform(_suffixes(raw), lambda s: lookup(SUFFIXES, s))),
-        "head": F.when(is_note, lookup(HEADS, F.regexp_extract(raw, rf"(![dx/t]){_LENGTH}", 1))),
+        "head": F.when(is_note & raw.contains("!"), lookup(HEADS, F.regexp_extract(raw, rf"(![dx/t]){_LENGTH}", 1))),
         "grace": grace,
-        "slur_start": F.when(is_note, grace.isNull() & F.substring(raw, 1, 1).rlike("[a-g]")),
+        "slur_start": F.when(is_note, grace.isNull() & F.left(raw, F.lit(1)).between("a", "g")),
         "barline": F.when(kind == "measureBarrier", lookup(BARRIERS, raw)),
         "repeat_count": F.when(kind == "repeatBoundary", F.substring(raw, 2, 20).try_cast("int")),
         "tuplet_units": F.when(kind == "tupletOpen", F.regexp_extract(raw, r"^([0-9]+)", 1).try_cast("int")),

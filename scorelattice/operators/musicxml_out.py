@@ -321,9 +321,9 @@ def transposed_pitches(pitches: Column, semitones: Column, new_fifths: Column) -
     return F.transform(pitches, lambda p: as_int(moved(p)))
 
 
-def played_tokens(scores: DataFrame, max_depth: int = 4) -> DataFrame:
+def played_tokens(scores: DataFrame) -> DataFrame:
     """Tokens of scores as they are played, by part, with ties, lyrics, header fields and the new key."""
-    rows = parsing.flattened_repeats(parsing.attached(lexing.tokens(scores)), max_depth)
+    rows = parsing.flattened_repeats(parsing.attached(lexing.tokens(scores)))
     rows = parsing.merged_preamble(parsing.with_parts(rows, "play_idx"), "play_idx")
     h = F.col("h")
     headers = scores.select("score_id", lexing.header(F.col("source")).alias("h")).select("score_id", *[h[c].alias(c) for c in ("time_num", "time_den", "key_fifths", "div", "transpose")], h["clef"].alias("header_clef"))
@@ -344,9 +344,9 @@ def padded(rows: DataFrame) -> DataFrame:
     return rows.unionByName(added.drop("s", "last", "rest_idx"), allowMissingColumns=True)
 
 
-def documents(scores: DataFrame, title: Column | None = None, composer: Column | None = None, lyricist: Column | None = None, max_depth: int = 4) -> DataFrame:
+def documents(scores: DataFrame, title: Column | None = None, composer: Column | None = None, lyricist: Column | None = None) -> DataFrame:
     """score_id, music_xml, n_parts, n_measures of every score (score_id, source)."""
-    rows = played_tokens(scores, max_depth)
+    rows = played_tokens(scores)
     opens = rows.where("kind = 'tupletOpen'").select("score_id", "part_idx", "tok_idx", F.col("tuplet_units").alias("target"))
     members = rows.where("tuplet is not null and kind in ('note', 'rest')").groupBy("score_id", "part_idx", F.col("tuplet").alias("tok_idx")).agg(F.countDistinct("tok_idx").alias("total")).join(opens.distinct(), ["score_id", "part_idx", "tok_idx"])
     scale = grid.tuplet_scale(members)

@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from scorelattice.functions.pitch import let
 from scorelattice.operators import folds, grid
 
+#: Kinds that fill a cell.
+PLAYED = ("note", "rest", "tupletOpen", "tupletClose", "repeatBoundary")
+
 
 def _to_here() -> WindowSpec:
     """A score's tokens up to the current one."""
@@ -70,33 +74,52 @@ def loose_marks(tokens: DataFrame) -> DataFrame:
     return marked.where(loose).select("score_id", "tok_idx", "kind", "raw", "offset")
 
 
-def flattened_repeats(tokens: DataFrame, max_depth: int = 4) -> DataFrame:
-    """Tokens in the order they are played, repeat marks gone; play_idx counts within a score.
+def _plays(score: list) -> Iterator[tuple]:
+    """(score_id, plays) of a score's repeat marks: for each segment between marks the turns at which it is played.
 
-    A token inside repeats is played once for each combination of passes. Its place is decided by the
-    passes of the outer groups first: the sort key is the list of (group start, pass) from outside in.
+    A group that isn't closed is played once; an end without a start counts for nothing.
+    """
+    stack: list[list] = [[0]]
+    for k, mark in enumerate(score, 1):
+        if mark.repeat_count is None:
+            stack.append([])
+        elif len(stack) > 1:
+            body = stack.pop()
+            stack[-1].append((body, max(1, mark.repeat_count)))
+        stack[-1].append(k)
+    while len(stack) > 1:
+        body = stack.pop()
+        stack[-1].append((body, 1))
+    plays: list[list[int]] = [[] for _ in range(len(score) + 1)]
+    turn, open_ = 0, [(stack[0], 0, 1)]
+    while open_:  # group, place in it, passes left
+        body, at, left = open_.pop()
+        if at == len(body):
+            if left > 1:
+                open_.append((body, 0, left - 1))
+            continue
+        open_.append((body, at + 1, left))
+        if isinstance(body[at], tuple):
+            inner, count = body[at]
+            open_.append((inner, 0, count))
+        else:
+            plays[body[at]].append(turn)
+            turn += 1
+    yield score[0].score_id, plays
+
+
+def flattened_repeats(tokens: DataFrame) -> DataFrame:
+    """Tokens in the order they are played, repeat marks gone; play_idx grows within a score and isn't dense.
+
+    Groups nest to any depth. Only the marks of scores that have some are folded; what they say of each
+    segment between two marks comes back by a join on the score, by which the tokens are dealt out anyway.
     """
-    is_start = (F.col("kind") == "repeatBoundary") & F.col("repeat_count").isNull()
-    is_end = (F.col("kind") == "repeatBoundary") & F.col("repeat_count").isNotNull()
-    back = Window.partitionBy("score_id").orderBy(F.col("tok_idx").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = range(1, max_depth + 1)
-    out = with_groups(tokens).withColumn("_level", F.col("depth") + F.when(is_end, 1).otherwise(0))
-    # for each level the start before a token and the count at the end after it: two sorts, whatever the depth
-    out = out.withColumns({f"_s{k}": F.last(F.when(is_start & (F.col("_level") == k), F.col("tok_idx")), ignorenulls=True).over(_to_here()) for k in levels})
-    out = out.withColumns({f"_e{k}": F.last(F.when(is_end & (F.col("_level") == k), F.col("repeat_count")), ignorenulls=True).over(back) for k in levels})
-    out = out.where("kind <> 'repeatBoundary'")
-    inside = {k: F.col("_level") >= k for k in levels}
-    times = {k: F.when(inside[k], F.greatest(F.lit(1), F.coalesce(F.col(f"_e{k}"), F.lit(1)))).otherwise(1) for k in levels}
-    out = out.withColumns({f"_n{k}": times[k] for k in levels} | {f"_g{k}": F.when(inside[k], F.coalesce(f"_s{k}", "tok_idx")).otherwise(F.col("tok_idx")) for k in levels})
-    # one number counts through all combinations of passes, the outermost slowest
-    total, rest = F.lit(1), {}
-    for k in reversed(levels):
-        rest[k] = total
-        total = total * F.col(f"_n{k}")
-    out = out.withColumn("_pass", F.explode(F.sequence(F.lit(0), total - 1)))
-    order = [x for k in levels for x in (F.col(f"_g{k}"), F.floor(F.col("_pass") / rest[k]) % F.col(f"_n{k}"))]
-    at = F.row_number().over(Window.partitionBy("score_id").orderBy(*order, "tok_idx")) - 1
-    return out.withColumn("play_idx", at).drop("_level", "_pass", *[f"_{c}{k}" for c in "sengn" for k in levels])
+    is_mark = F.col("kind") == "repeatBoundary"
+    plays = folds.by_key(tokens.where(is_mark).select("score_id", "tok_idx", "repeat_count"), ["score_id"], ["tok_idx"], _plays, "score_id long, plays array<array<long>>")
+    marked = with_groups(tokens).withColumn("_segment", F.count_if(is_mark).over(_to_here())).where(~is_mark)
+    turns = F.coalesce(F.get("plays", F.col("_segment").cast("int")), F.array("_segment"))
+    played = marked.join(plays, "score_id", "left").withColumn("_turn", F.explode(turns))
+    return played.withColumn("play_idx", F.shiftleft("_turn", 32) + F.col("tok_idx")).drop("plays", "_segment", "_turn")
 
 
 def with_parts(tokens: DataFrame, order: str = "tok_idx", default: str = "M") -> DataFrame:
@@ -104,14 +127,20 @@ def with_parts(tokens: DataFrame, order: str = "tok_idx", default: str = "M") ->
 
     part_idx numbers the parts of a score by first appearance, the default part first if it has tokens.
     """
-    before = Window.partitionBy("score_id").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    label = F.coalesce(F.last("part_label", ignorenulls=True).over(before), F.lit(default))
-    seen = tokens.withColumn("part", label)
-    own = Window.partitionBy("score_id", "part")
+    ordered = Window.partitionBy("score_id").orderBy(order)
+    here, before = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    label = F.coalesce(F.last("part_label", ignorenulls=True).over(here), F.lit(default))
+    known = F.array_contains(F.collect_set("part_label").over(before), F.col("part_label"))
+    seen = tokens.withColumns({"part": label, "_new": F.when(~F.coalesce(known, F.lit(False)), F.col("part_label")), "_unnamed": F.first("part_label").over(every).isNull()})
+    # the names in the order they first stand in; a score has few
+    seen = seen.withColumn("_names", F.collect_list("_new").over(every))
+    places = F.concat(F.when(F.col("_unnamed"), F.array(F.lit(default))).otherwise(F.array().cast("array<string>")), F.col("_names"))
+    seen = seen.withColumn("part_idx", (F.array_position(places, F.col("part")) - 1).cast("long")).drop("_new", "_unnamed", "_names")
     # what the naming tokens say of a part stays with its tokens
-    numbered = seen.withColumns({"_first": F.min(order).over(own), "instrument": F.max_by("instrument", F.when(F.col("instrument").isNotNull(), F.col(order))).over(own)})
-    numbered = numbered.withColumn("part_idx", (F.dense_rank().over(Window.partitionBy("score_id").orderBy("_first")) - 1).cast("long"))
-    return numbered.where("part_label is null").drop("_first")
+    own = Window.partitionBy("score_id", "part")
+    named = seen.withColumn("instrument", F.max_by("instrument", F.when(F.col("instrument").isNotNull(), F.col(order))).over(own))
+    return named.where("part_label is null")
 
 
 def merged_preamble(tokens: DataFrame, order: str = "tok_idx") -> DataFrame:
@@ -143,7 +172,7 @@ def with_cells(tokens: DataFrame) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     barrier = (F.col("kind") == "measureBarrier") & (F.col("barline") != "repeatStart")
     separator = F.when(F.col("kind") == "barline", "barline").when(barrier, "measureBarrier")
-    played = F.col("kind").isin("note", "rest", "tupletOpen", "tupletClose", "repeatBoundary")
+    played = F.col("kind").isin(*PLAYED)
     # what was last seen of separators and things played: a separator of the other kind joins the one before
     seen = F.last(F.when(separator.isNotNull(), separator).when(played, F.lit("played")), ignorenulls=True).over(before)
     joined = separator.isNotNull() & seen.isin("barline", "measureBarrier") & (seen != separator)
@@ -153,29 +182,37 @@ def with_cells(tokens: DataFrame) -> DataFrame:
     return out.withColumn("cell_index", index.cast("long")).drop("_closes", "_played")
 
 
-def cell_marks(celled: DataFrame) -> DataFrame:
-    """score_id, part_idx, cell_index, empty, starts, ends of each cell, for the expansion of repeats."""
-    played = F.col("kind").isin("note", "rest", "tupletOpen", "tupletClose", "repeatBoundary")
-    # a repeat end closes the cell it stands in, or (joined to another separator) the one before
-    own = F.when((F.col("barline") == "repeatEnd") & F.col("_joined"), F.col("cell_index") - 1).otherwise(F.col("cell_index"))
-    w = Window.partitionBy("score_id", "part_idx").orderBy("tok_idx")
-    marked = celled.withColumn("_next", F.lead("cell_index").over(w))
-    marked = marked.withColumn("_joined", F.col("separator").isNotNull() & (F.col("_next") == F.col("cell_index")))
-    marked = marked.withColumn("_joined", F.coalesce("_joined", F.lit(False)))
-    sums = marked.groupBy("score_id", "part_idx", own.alias("cell_index")).agg((~F.max(played)).alias("empty"), F.max(F.coalesce(F.col("barline") == "repeatStart", F.lit(False))).alias("starts"), F.max(F.coalesce(F.col("barline") == "repeatEnd", F.lit(False))).alias("ends"))
-    return sums
-
-
-def grid_cells(tokens: DataFrame, max_depth: int = 4) -> DataFrame:
+def grid_cells(tokens: DataFrame) -> DataFrame:
     """Tokens by part and measure, repeats of both notations played out: the columns of with_cells and measure_index.
 
-    tok_idx counts played tokens; source_idx is the token's own place.
+    tok_idx orders played tokens; source_idx is the token's own place. A cell without a token of its own
+    gives a row of nulls. Empty cells at both ends of a part give none.
     """
-    flat = flattened_repeats(tokens, max_depth).withColumn("source_idx", F.col("tok_idx")).withColumn("tok_idx", F.col("play_idx")).drop("play_idx")
+    flat = flattened_repeats(tokens).withColumn("source_idx", F.col("tok_idx")).withColumn("tok_idx", F.col("play_idx")).drop("play_idx")
     celled = with_cells(without_preamble(with_parts(flat)))
-    played = grid.expand_barline_repeats(cell_marks(celled))
-    own = celled.where("separator is null and coalesce(barline, '') <> 'repeatStart'")
-    return played.join(own, ["score_id", "part_idx", "cell_index"], "left").withColumnRenamed("out_index", "measure_index")
+    w = Window.partitionBy("score_id", "part_idx").orderBy("tok_idx")
+    here, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell, style = F.col("cell_index"), F.coalesce("barline", F.lit(""))
+    played = F.col("kind").isin(*PLAYED)
+    own = F.col("separator").isNull() & (style != "repeatStart")
+    closes = F.col("separator").isNotNull() & ~F.coalesce(F.lead("cell_index").over(w) == cell, F.lit(False))
+    rows = celled.withColumns({"_closes": closes, "_own": own, "_n_own": F.count_if(own).over(here), "_n_played": F.count_if(played).over(here), "_first": F.min(F.when(played, cell)).over(every), "_full": F.max(F.when(played, cell)).over(every), "_last": F.max(cell).over(every), "_signs": F.max(style.isin("repeatStart", "repeatEnd")).over(every)})
+    at_close = lambda c: F.coalesce(F.last(F.when(F.col("_closes"), F.col(c)), ignorenulls=True).over(before), F.lit(0))
+    rows = rows.withColumns({"_bare": F.col("_closes") & (F.col("_n_own") == at_close("_n_own")), "_silent": F.col("_closes") & (F.col("_n_played") == at_close("_n_played"))})
+    # the order of a part with repeat signs is worked out once, on its first row
+    ends = style == "repeatEnd"
+    # a repeat end closes the cell it stands in, or (joined to another separator) the one before
+    sign = F.struct((cell - F.when(ends & ~F.col("_closes"), 1).otherwise(0)).alias("cell"), ends.alias("ends"))
+    rows = rows.withColumns({"_sign": F.collect_list(F.when(style.isin("repeatStart", "repeatEnd"), sign)).over(every), "_none": F.collect_list(F.when(F.col("_signs") & F.col("_silent"), cell)).over(every), "_row": F.row_number().over(w)})
+    none = F.when(F.col("_full") < F.col("_last"), F.concat("_none", F.array("_last"))).otherwise(F.col("_none"))
+    rows = rows.withColumn("_order", F.when(F.col("_signs") & (F.col("_row") == 1) & F.col("_full").isNotNull(), grid.played_order(F.array_sort("_sign"), none, F.col("_last"))))
+    rows = rows.withColumn("_order", F.first("_order").over(every)).where("_own or _bare")
+    in_order = let(F.col("_order"), lambda o: F.filter(F.transform(o, lambda c, i: F.when(c == cell, i.cast("long"))), lambda i: i.isNotNull()))
+    at = F.when(F.col("_order").isNotNull(), in_order).when(cell.between(F.col("_first"), F.col("_full")), F.array(cell - F.col("_first")))
+    rows = rows.withColumn("measure_index", F.explode(at))
+    keys = ("score_id", "part_idx", "part", "cell_index", "measure_index")
+    return rows.select(*[c if c in keys else F.when(F.col("_own"), F.col(c)).alias(c) for c in (*celled.columns, "measure_index")])
 
 
 def cell_errors(tokens: DataFrame) -> DataFrame:
@@ -186,7 +223,7 @@ def cell_errors(tokens: DataFrame) -> DataFrame:
     return sums.where("repeats <> 0 or tuplets > 0").select(F.lit("cellParseError").alias("kind"), "score_id", "part", "part_idx", "cell_index")
 
 
-_SPLIT = "score_id long, part_idx long, tok_idx int, old_measure long, measure_index long, start long"
+_SPLIT = "score_id long, part_idx long, tok_idx long, old_measure long, measure_index long, start long"
 
 
 def split_long_cells(cells: DataFrame, units_per_measure: DataFrame) -> DataFrame:
