@@ -132,10 +132,11 @@ def from_diatonic(place: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two positive numbers, by a bounded fold of Euclid's steps."""
+    """Greatest common divisor of two positive numbers, by as many of Euclid's steps as the smaller one can need."""
     start = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["a"])
+    steps = F.ceil(1.45 * F.log2(F.least(F.abs(a), F.abs(b)) + 1)).cast("int") + 2
+    found = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
     return F.when(found == 0, 1).otherwise(found)
 
 

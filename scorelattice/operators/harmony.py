@@ -73,30 +73,25 @@ def merge_ties(events: DataFrame) -> DataFrame:
     return events.withColumn("island", island).groupBy("score_id", "measure_index", "part_idx", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("abs_semitone").alias("abs_semitone")).drop("island")
 
 
-def measure_lengths(notes: DataFrame) -> DataFrame:
-    """Length of each measure: that of its first part's cell."""
-    cells = notes.groupBy(*MEASURE, "part_idx").agg(F.sum("units").alias("length"))
-    return cells.groupBy(*MEASURE).agg(F.min_by("length", "part_idx").alias("length"))
+def moment_sets(events: DataFrame, beat: int) -> DataFrame:
+    """mask and bass_pc at every moment of each measure; mask 0 where nothing sounds.
 
-
-def moments(events: DataFrame, lengths: DataFrame, beat: int) -> DataFrame:
-    """Distinct moments of each measure: beats and note starts within its length."""
-    # an interval join bounded by the measure: the number of moments is that of beats and notes
-    beats = lengths.where("length > 0").select(*MEASURE, F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(beat).cast("long"))).alias("offset"))
-    starts = events.join(lengths, list(MEASURE)).where("start < length").select(*MEASURE, F.col("start").alias("offset"))
-    return beats.unionByName(starts).distinct()
-
-
-def sounding(events: DataFrame, at: DataFrame) -> DataFrame:
-    """The notes that sound at each moment: start <= offset < end."""
-    return at.join(events, list(MEASURE)).where((F.col("start") <= F.col("offset")) & (F.col("end") > F.col("offset")))
-
-
-def moment_sets(events: DataFrame, lengths: DataFrame, beat: int) -> DataFrame:
-    """mask and bass_pc of every moment; mask 0 where nothing sounds."""
-    at = moments(events, lengths, beat)
-    found = pitch_sets(sounding(events, at), *MEASURE, "offset")
-    return at.join(found, [*MEASURE, "offset"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    Moments are the beats and the note starts within a measure's length, which is that of its first part's
+    cell. A note sounds where start <= moment < end. A measure's notes are few: they are gathered once, and
+    lengths, moments and what sounds are read from them without another shuffle.
+    """
+    note = F.struct("part_idx", "start", "end", "units", "abs_semitone")
+    measures = events.groupBy(*MEASURE).agg(F.collect_list(note).alias("notes"), F.min("part_idx").alias("first"))
+    own = F.filter("notes", lambda n: n["part_idx"] == F.col("first"))
+    length = F.aggregate(own, F.lit(0).cast("long"), lambda acc, n: acc + n["units"])
+    measures = measures.withColumn("length", length).where("length > 0")
+    beats = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(beat).cast("long"))
+    starts = F.filter(F.transform("notes", lambda n: n["start"]), lambda s: s < F.col("length"))
+    at = measures.select(*MEASURE, "notes", F.explode(F.array_distinct(F.concat(beats, starts))).alias("offset"))
+    heard = F.transform(F.filter("notes", lambda n: (n["start"] <= F.col("offset")) & (n["end"] > F.col("offset"))), lambda n: n["abs_semitone"])
+    at = at.select(*MEASURE, "offset", heard.alias("heard"))
+    mask = F.aggregate("heard", F.lit(0), lambda acc, p: acc.bitwiseOR(pc_bit(pitch_class(p))))
+    return at.select(*MEASURE, "offset", mask.cast("long").alias("mask"), pitch_class(F.array_min("heard")).cast("long").alias("bass_pc"))
 
 
 def beat_chords(chords: DataFrame, beat: int) -> DataFrame:

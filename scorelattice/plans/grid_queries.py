@@ -128,19 +128,57 @@ def first_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.first_tempo(notes(spark, sf_dir).select("score_id", "part_idx", (F.col("measure_index") * 1000 + F.col("seq")).alias("idx"), bpm.alias("bpm")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES_SQL},
+queue AS (SELECT score_id, part_idx, row_number() OVER (PARTITION BY score_id, part_idx ORDER BY measure_index, seq) - 1 AS seq, units * CASE WHEN abs_semitone % 5 = 0 THEN 6 ELSE 1 END AS units FROM notes),
+pour AS (
+  SELECT score_id, part_idx, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS piece, units AS due, CAST(0 AS BIGINT) AS measure, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS begin_at, CAST(NULL AS BIGINT) AS units, false AS tie_out, CAST(0 AS BIGINT) AS measure_index, CAST(0 AS BIGINT) AS out_seq, CAST(0 AS BIGINT) AS out_piece FROM queue WHERE seq = 0
+  UNION ALL SELECT score_id, part_idx, CASE WHEN fits THEN seq + 1 ELSE seq END, CASE WHEN fits THEN 0 WHEN splits THEN piece + 1 ELSE piece END,
+    CASE WHEN fits THEN next_units WHEN splits THEN due - room ELSE due END, CASE WHEN fits AND used + due < {EXPECTED} THEN measure ELSE measure + 1 END, CASE WHEN fits AND used + due < {EXPECTED} THEN used + due ELSE 0 END,
+    CASE WHEN fits OR splits THEN used END, CASE WHEN fits THEN due WHEN splits THEN room END, splits, measure, seq, piece
+  FROM (SELECT p.* EXCLUDE (begin_at, units, tie_out, measure_index, out_seq, out_piece), {EXPECTED} - used AS room, due <= {EXPECTED} - used AS fits, due > {EXPECTED} - used AND used < {EXPECTED} AND due > {EXPECTED} AS splits, q.units AS next_units
+    FROM pour p LEFT JOIN queue q ON q.score_id = p.score_id AND q.part_idx = p.part_idx AND q.seq = p.seq + 1 WHERE due IS NOT NULL))
+SELECT score_id, part_idx, out_seq AS seq, out_piece AS piece, measure_index, begin_at AS "at", units, tie_out FROM pour WHERE begin_at IS NOT NULL""")
 def bucketize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.bucketize(notes(spark, sf_dir), EXPECTED)
+    """Every part poured into measures; a fifth of the notes are made long, so that they are split."""
+    return grid.bucketize(notes(spark, sf_dir).withColumn("units", F.col("units") * F.when(F.col("abs_semitone") % 5 == 0, 6).otherwise(1)), EXPECTED)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES_SQL},
+cells AS (SELECT score_id, part_idx, row_number() OVER (PARTITION BY score_id, part_idx ORDER BY measure_index) - 1 AS cell, min(abs_semitone) % 3 = 0 AS empty, max(abs_semitone) % 4 = 0 AS starts, min(abs_semitone) % 5 = 0 AS ends FROM notes GROUP BY score_id, part_idx, measure_index),
+parts AS (SELECT score_id, part_idx, coalesce(list(cell) FILTER (empty), []) AS none FROM cells GROUP BY ALL),
+play AS (
+  SELECT score_id, part_idx, CAST(-1 AS BIGINT) AS cell, CAST([] AS BIGINT[]) AS played, 0 AS mark FROM parts
+  UNION ALL SELECT score_id, part_idx, cell, CASE WHEN ends THEN list_concat(so_far, coalesce(again[list_position(list_transform(again, lambda c: list_contains(none, c)), false):], [])) ELSE so_far END, CASE WHEN ends THEN 0 ELSE mark END
+  FROM (SELECT *, so_far[mark + 1:] AS again FROM (SELECT c.score_id, c.part_idx, c.cell, c.ends, x.none, list_append(p.played, c.cell) AS so_far, CASE WHEN c.starts THEN len(p.played) ELSE p.mark END AS mark
+    FROM play p JOIN cells c ON c.score_id = p.score_id AND c.part_idx = p.part_idx AND c.cell = p.cell + 1 JOIN parts x ON x.score_id = p.score_id AND x.part_idx = p.part_idx))),
+final AS (SELECT p.*, none, list_transform(played, lambda c: list_contains(none, c)) AS gaps FROM play p JOIN parts x USING (score_id, part_idx)
+  WHERE cell = (SELECT max(cell) FROM cells c WHERE c.score_id = p.score_id AND c.part_idx = p.part_idx)),
+cut AS (SELECT score_id, part_idx, played[list_position(gaps, false):len(gaps) - list_position(list_reverse(gaps), false) + 1] AS played FROM final WHERE list_contains(gaps, false))
+SELECT score_id, part_idx, CAST(i - 1 AS BIGINT) AS out_index, played[i] AS cell_index FROM cut, unnest(range(1, len(played) + 1)) AS r(i)""")
 def grid_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of every part in played order; the signs come from the notes."""
-    cells = notes(spark, sf_dir).groupBy("score_id", "part_idx", F.col("measure_index").alias("cell_index")).agg(F.lit(False).alias("empty"), (F.max("abs_semitone") % 4 == 0).alias("starts"), (F.min("abs_semitone") % 5 == 0).alias("ends"))
-    return grid.expand_barline_repeats(cells)
+    """Cells of every part in played order; the signs, and which cells are empty, come from the notes."""
+    from pyspark.sql.window import Window
+
+    low, high = F.min("abs_semitone"), F.max("abs_semitone")
+    cells = notes(spark, sf_dir).groupBy("score_id", "part_idx", "measure_index").agg((low % 3 == 0).alias("empty"), (high % 4 == 0).alias("starts"), (low % 5 == 0).alias("ends"))
+    index = F.row_number().over(Window.partitionBy("score_id", "part_idx").orderBy("measure_index")) - 1
+    return grid.expand_barline_repeats(cells.withColumn("cell_index", index))
 
 
-@query()
+_LETTERS_SQL = ", ".join(f"({k}, '{c}', {u})" for k, (c, u) in enumerate(durations.LETTERS.items()))
+
+
+@query(f"""WITH RECURSIVE {NOTES_SQL},
+asked AS (SELECT DISTINCT units * 3 + seq AS units, div FROM notes, (VALUES (16), (64), (96)) AS d(div)),
+letters(place, letter, at64) AS (VALUES {_LETTERS_SQL}),
+bases AS (SELECT place, letter, div, floor(at64 * div / 64.0 + 0.5) AS base FROM letters, (VALUES (16), (64), (96)) AS d(div)),
+lengths AS (SELECT place, div, base, dots, letter || repeat('.', dots) AS name, CAST(floor(base * factor + 0.5) AS BIGINT) AS len FROM bases, (VALUES (0, 1.0), (1, 1.5), (2, 1.75), (3, 1.875)) AS x(dots, factor) WHERE base > 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY div ORDER BY len DESC, place, dots DESC) AS rn FROM lengths WHERE len > 0),
+greedy AS (SELECT units, div, CAST(0 AS BIGINT) AS rn, units AS rest, CAST([] AS VARCHAR[]) AS chain FROM asked
+  UNION ALL SELECT units, g.div, o.rn, rest - (rest // len) * len, list_concat(chain, list_resize([name], rest // len, name)) FROM greedy g JOIN ordered o ON o.div = g.div AND o.rn = g.rn + 1),
+chains AS (SELECT units, div, chain FROM greedy WHERE rn = (SELECT max(rn) FROM ordered o WHERE o.div = greedy.div)),
+singles AS (SELECT a.units, a.div, arg_min(name, CASE WHEN dots = 0 THEN place ELSE 100 + 10 * place + dots END) AS single FROM asked a JOIN lengths l ON l.div = a.div AND l.len = a.units GROUP BY ALL)
+SELECT c.units, c.div, array_to_string(chain, ' ') AS chain, single, coalesce('R' || single, array_to_string(list_transform(chain, lambda x: 'R' || x), ' ')) AS rests FROM chains c LEFT JOIN singles s ON s.units = c.units AND s.div = c.div""")
 def duration_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written lengths of every sounding length in the table, at three divisions."""
     units = notes(spark, sf_dir).select((F.col("units") * 3 + F.col("seq")).alias("units")).distinct()

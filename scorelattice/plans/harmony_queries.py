@@ -23,6 +23,34 @@ def _templates_sql(table: dict[str, tuple[int, ...]], name: str) -> str:
 _BASIC_SQL = _templates_sql(chord_tables.TRIADS | chord_tables.SEVENTHS, "templates")
 _EXACT_SQL = _templates_sql(chord_tables.TRIADS_EX | chord_tables.FOURS_EX, "templates")
 
+#: The whole cascade for distinct sets (pcs ascending, bass_pc): a row for each set that has a reading.
+_READINGS_SQL = f"""
+shapes_ex(place, quality, shape, display) AS (VALUES {", ".join(f"({k}, '{q}', {list(v)}, '{chord_tables.DISPLAY[q]}')" for k, (q, v) in enumerate((chord_tables.TRIADS_EX | chord_tables.FOURS_EX).items()))}),
+dsets AS (SELECT DISTINCT pcs, bass_pc FROM sets),
+spare AS (SELECT pcs, bass_pc, unnest(pcs) AS x FROM dsets),
+subs AS (
+  SELECT pcs, bass_pc, 1 AS stage, 0 AS ord, pcs AS sub, bass_pc AS sub_bass FROM dsets
+  UNION ALL SELECT pcs, bass_pc, 2, -x, list_filter(pcs, lambda p: p <> x), bass_pc FROM spare WHERE len(pcs) = 5 AND x <> bass_pc
+  UNION ALL SELECT pcs, bass_pc, 4, 0, list_filter(pcs, lambda p: p <> bass_pc), list_min(list_filter(pcs, lambda p: p <> bass_pc)) FROM dsets
+  UNION ALL SELECT pcs, bass_pc, 5, -x, list_filter(pcs, lambda p: p <> x), bass_pc FROM spare WHERE len(pcs) = 4 AND x <> bass_pc
+  UNION ALL SELECT a.pcs, a.bass_pc, 5, -100 * a.x - b.x, list_filter(a.pcs, lambda p: p <> a.x AND p <> b.x), a.bass_pc FROM spare a JOIN spare b
+    ON a.pcs = b.pcs AND a.bass_pc = b.bass_pc AND a.x <> b.x WHERE len(a.pcs) = 5 AND a.x <> a.bass_pc AND b.x <> a.bass_pc),
+rooted AS (SELECT *, unnest(sub) AS root, false AS filled FROM subs WHERE len(sub) IN (3, 4)
+  UNION ALL SELECT pcs, bass_pc, 3, 0, list_append(pcs, (x + 7) % 12), bass_pc, x, true FROM spare WHERE len(pcs) = 3 AND NOT list_contains(pcs, (x + 7) % 12)),
+turned AS (SELECT *, list_sort(list_transform(sub, lambda p: (p - root + 12) % 12)) AS shape FROM rooted),
+hits AS (SELECT t.*, quality, display, row_number() OVER s AS rn, count(*) OVER (PARTITION BY pcs, bass_pc, stage, ord) AS n, coalesce(list_position(f.shape, (bass_pc - root + 12) % 12) - 1, 0) AS place_of_bass
+  FROM turned t JOIN shapes_ex f ON f.shape = t.shape WINDOW s AS (PARTITION BY pcs, bass_pc, stage, ord ORDER BY root <> sub_bass, root, place)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pcs, bass_pc ORDER BY stage, CASE WHEN stage <> 2 THEN 0 WHEN place_of_bass = 0 AND quality IN ('maj7', 'dom7', 'min7', 'm7b5', 'dim7', 'minMaj7', 'aug7') THEN 0 WHEN place_of_bass = 0 THEN 1 ELSE 2 END, ord) AS best
+  FROM hits WHERE rn = 1),
+readings AS (SELECT pcs, bass_pc, root, quality, display, CASE WHEN stage = 4 THEN 0 ELSE place_of_bass END AS inversion, stage = 4 AS is_on, filled,
+    CASE WHEN stage = 1 AND n = 1 THEN 'definite' WHEN stage = 1 THEN 'ambiguous' WHEN stage = 3 THEN 'incomplete' ELSE 'likely' END AS confidence FROM ranked WHERE best = 1
+  UNION ALL SELECT pcs, bass_pc, pcs[1], 'maj', '', CASE WHEN bass_pc = pcs[1] THEN 0 ELSE 1 END, false, false, 'incomplete' FROM dsets WHERE len(pcs) = 2 AND pcs[2] - pcs[1] = 7),
+others AS (SELECT pcs, bass_pc, list({{'root': root, 'quality': quality, 'absolute': {_NAMES_SQL}[root + 1] || display || CASE WHEN root = bass_pc THEN '' ELSE '/' || {_NAMES_SQL}[bass_pc + 1] || place_of_bass END}} ORDER BY rn) AS alternatives FROM hits WHERE stage = 1 AND rn > 1 GROUP BY ALL),
+named AS (SELECT r.*, alternatives, {_NAMES_SQL}[root + 1] || display || CASE WHEN filled THEN '(o5)' ELSE '' END || CASE WHEN root = r.bass_pc THEN '' ELSE '/' || {_NAMES_SQL}[r.bass_pc + 1] || CASE WHEN is_on THEN '' ELSE CAST(inversion AS VARCHAR) END END AS absolute
+  FROM readings r LEFT JOIN others o ON o.pcs = r.pcs AND o.bass_pc = r.bass_pc)"""
+_DEGREES_SQL = "[" + ",".join(f"'{d}'" for d in chord_tables.DEGREES) + "]"
+_MOMENT_SETS_SQL = """sets AS (SELECT score_id, measure_index, "offset", list_sort(list(DISTINCT CAST(abs_semitone % 12 AS INT))) AS pcs, CAST(min(abs_semitone) % 12 AS INT) AS bass_pc FROM sounding WHERE abs_semitone IS NOT NULL GROUP BY ALL)"""
+
 #: Chords of sets (keys, pcs, bass_pc): the best template over the best root.
 _LABELS_SQL = """
 roots AS (SELECT *, unnest(pcs) AS root FROM sets WHERE len(pcs) IN (3, 4)),
@@ -31,6 +59,11 @@ found AS (SELECT s.*, t.quality, row_number() OVER (PARTITION BY {keys} ORDER BY
   FROM shapes s JOIN templates t ON t.shape = s.shape)"""
 
 
+_SYMBOL_SQL = f"""SELECT score_id, measure_index, {_NAMES_SQL}[root + 1] AS root, quality, {_NAMES_SQL}[bass_pc + 1] AS bass, root <> bass_pc AS inverted,
+  {_NAMES_SQL}[root + 1] || quality || CASE WHEN root <> bass_pc THEN '/' || {_NAMES_SQL}[bass_pc + 1] ELSE '' END AS symbol
+FROM found WHERE rn = 1"""
+
+
 @query(f"""WITH {NOTES_SQL}
 SELECT score_id, measure_index, array_to_string(list_sort(list(DISTINCT abs_semitone % 12)), ',') AS pcs, count(DISTINCT abs_semitone % 12) AS n_pcs
 FROM notes GROUP BY ALL""")
@@ -41,9 +74,7 @@ def measure_pitch_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NOTES_SQL}, {_BASIC_SQL},
 sets AS (SELECT score_id, measure_index, list_sort(list(DISTINCT CAST(abs_semitone % 12 AS INT))) AS pcs, CAST(min(abs_semitone) % 12 AS INT) AS bass_pc FROM notes GROUP BY ALL),
 {_LABELS_SQL.format(keys="score_id, measure_index")}
-SELECT score_id, measure_index, {_NAMES_SQL}[root + 1] AS root, quality, {_NAMES_SQL}[bass_pc + 1] AS bass, root <> bass_pc AS inverted,
-  {_NAMES_SQL}[root + 1] || quality || CASE WHEN root <> bass_pc THEN '/' || {_NAMES_SQL}[bass_pc + 1] ELSE '' END AS symbol
-FROM found WHERE rn = 1""")
+{_SYMBOL_SQL}""")
 def measure_chord_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmony.measure_labels(notes(spark, sf_dir))
 
@@ -115,8 +146,7 @@ sounding AS (SELECT m.score_id, m.measure_index, m."offset", n.abs_semitone FROM
 
 
 def _moment_chords(spark: SparkSession, sf_dir: str, fifths: int = 0) -> DataFrame:
-    rows = notes(spark, sf_dir)
-    sets = harmony.moment_sets(harmony.onsets(rows), harmony.measure_lengths(rows), BEAT)
+    sets = harmony.moment_sets(harmony.onsets(notes(spark, sf_dir)), BEAT)
     return harmony.extended_labels(sets, F.lit(fifths))
 
 
@@ -124,8 +154,7 @@ def _moment_chords(spark: SparkSession, sf_dir: str, fifths: int = 0) -> DataFra
 SELECT score_id, measure_index, "offset", coalesce(array_to_string(list_sort(list(DISTINCT abs_semitone % 12) FILTER (abs_semitone IS NOT NULL)), ','), '') AS pcs, coalesce(min(abs_semitone) % 12, -1) AS bass_pc
 FROM sounding GROUP BY ALL""")
 def beat_grid_sounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notes(spark, sf_dir)
-    sets = harmony.moment_sets(harmony.onsets(rows), harmony.measure_lengths(rows), BEAT)
+    sets = harmony.moment_sets(harmony.onsets(notes(spark, sf_dir)), BEAT)
     members = F.array_join(F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.lit(i)) for i in range(12)]), lambda x: x.isNotNull()), ",")
     return sets.select("score_id", "measure_index", "offset", members.alias("pcs"), F.coalesce("bass_pc", F.lit(-1)).cast("long").alias("bass_pc"))
 
@@ -143,7 +172,11 @@ def chord_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("score_id", "measure_index", "offset", "root", "quality", "bass", F.col("inversion").cast("long").alias("inversion"), "confidence")
 
 
-@query()
+@query(f"""WITH {NOTES_SQL}, {_MOMENTS_SQL}, {_MOMENT_SETS_SQL}, {_READINGS_SQL}
+SELECT score_id, measure_index, "offset", {_NAMES_SQL}[root + 1] AS root, quality, {_NAMES_SQL}[n.bass_pc + 1] AS bass, CAST(inversion AS INT) AS inversion, is_on, {_DEGREES_SQL}[root + 1] AS degree, absolute,
+  {_DEGREES_SQL}[root + 1] || display AS relative, {_DEGREES_SQL}[root + 1] || display || '/' || absolute AS combined, confidence, filled AS omitted_fifth,
+  CASE WHEN confidence = 'ambiguous' THEN absolute || '~' || alternatives[1].absolute ELSE absolute END AS name
+FROM sets JOIN named n ON n.pcs = sets.pcs AND n.bass_pc = sets.bass_pc""")
 def chord_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every moment's reading, with degrees and display names."""
     found = _moment_chords(spark, sf_dir).where("root is not null")
@@ -160,14 +193,28 @@ islands AS (SELECT *, sum(opens) OVER (PARTITION BY score_id, measure_index ORDE
 SELECT score_id, measure_index, CAST(segment AS BIGINT) AS segment, coalesce(any_value({_NAMES_SQL}[root + 1]), '?') AS root, coalesce(any_value(quality), '?') AS quality, CAST(count(*) * {BEAT} AS BIGINT) AS units FROM islands GROUP BY score_id, measure_index, segment""")
 def chord_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal triads and sevenths over the beats."""
-    rows = notes(spark, sf_dir)
-    sets = harmony.moment_sets(harmony.onsets(rows), harmony.measure_lengths(rows), BEAT)
+    sets = harmony.moment_sets(harmony.onsets(notes(spark, sf_dir)), BEAT)
     beats = harmony.beat_chords(sets.join(F.broadcast(chord_tables.basic_table(spark)), ["mask", "bass_pc"], "left"), BEAT)
     found = harmony.segments(beats.select("score_id", "measure_index", "beat", "root", "quality", "bass"), BEAT)
     return found.select("score_id", "measure_index", "segment", F.coalesce("root", F.lit("?")).alias("root"), F.coalesce("quality", F.lit("?")).alias("quality"), "units")
 
 
-@query()
+_MOTION_SQL = "CASE ({0} + 12) % 12 WHEN 5 THEN 3 WHEN 7 THEN 2 WHEN 2 THEN 1 WHEN 10 THEN 1 ELSE 0 END"
+_IS_DIATONIC_SQL = " OR ".join(f"(z.root = {d} AND z.quality IN ({', '.join(repr(x) for x in q)}))" for d, q in chord_tables.DIATONIC.items())
+
+
+@query(f"""WITH RECURSIVE {NOTES_SQL}, {_MOMENTS_SQL}, {_MOMENT_SETS_SQL}, {_READINGS_SQL},
+firsts AS (SELECT score_id, measure_index, row_number() OVER s AS rn, n.root, quality, absolute, confidence, alternatives, lead(n.root) OVER s AS next_root
+  FROM moments m LEFT JOIN sets USING (score_id, measure_index, "offset") LEFT JOIN named n ON n.pcs = sets.pcs AND n.bass_pc = sets.bass_pc
+  WHERE m."offset" = 0 WINDOW s AS (PARTITION BY score_id ORDER BY measure_index)),
+optional AS (SELECT *, list_concat([{{'root': root, 'quality': quality, 'absolute': absolute}}], coalesce(alternatives, [])) AS options FROM firsts),
+fold AS (
+  SELECT DISTINCT score_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS measure_index, CAST(NULL AS INT) AS root, CAST(NULL AS VARCHAR) AS quality, CAST(NULL AS VARCHAR) AS absolute, CAST(NULL AS VARCHAR) AS confidence, false AS resolved FROM firsts
+  UNION ALL SELECT score_id, rn, measure_index, options[pick].root, options[pick].quality, options[pick].absolute, CASE WHEN pick > 1 THEN 'likely' ELSE confidence END, pick > 1 FROM (
+    SELECT *, CASE WHEN confidence = 'ambiguous' AND len(options) > 1 AND (left_root IS NOT NULL OR next_root IS NOT NULL) AND list_max(fits) > 0 THEN list_position(fits, list_max(fits)) ELSE 1 END AS pick FROM (
+      SELECT o.*, f.root AS left_root, list_transform(o.options, lambda z: CASE WHEN f.root IS NULL THEN 0 ELSE {_MOTION_SQL.format("z.root - f.root")} END + CASE WHEN next_root IS NULL THEN 0 ELSE {_MOTION_SQL.format("next_root - z.root")} END + CASE WHEN {_IS_DIATONIC_SQL} THEN 1 ELSE 0 END) AS fits
+      FROM fold f JOIN optional o ON o.score_id = f.score_id AND o.rn = f.rn + 1)))
+SELECT score_id, measure_index, {_NAMES_SQL}[root + 1] AS root, quality, absolute, confidence, resolved FROM fold WHERE rn > 0""")
 def chord_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first chord of each measure, ambiguous ones settled by their neighbours."""
     first = _moment_chords(spark, sf_dir).where(F.col("offset") == 0)

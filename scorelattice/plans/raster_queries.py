@@ -111,6 +111,14 @@ def line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "y", "x", F.col("ink").cast("long").alias("ink"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_INK_SQL},
+dots AS (SELECT page_id, y, x, y * 64 + x AS id FROM ink WHERE ink > 0),
+pairs AS (SELECT a.page_id, a.id, b.id AS other FROM dots a JOIN dots b ON b.page_id = a.page_id AND b.id = a.id + 64 UNION ALL SELECT a.page_id, a.id, b.id FROM dots a JOIN dots b ON b.page_id = a.page_id AND b.id = a.id + 1 AND b.y = a.y),
+near AS MATERIALIZED (SELECT * FROM pairs UNION ALL SELECT page_id, other, id FROM pairs),
+label(page_id, id, root) USING KEY (page_id, id) AS (
+  SELECT page_id, id, id AS root FROM dots
+  UNION SELECT n.page_id, n.other, min(l.root) FROM label l JOIN near n ON n.page_id = l.page_id AND n.id = l.id JOIN recurring.label k ON k.page_id = n.page_id AND k.id = n.other WHERE l.root < k.root GROUP BY n.page_id, n.other),
+boxes AS (SELECT page_id, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM label JOIN dots USING (page_id, id) GROUP BY page_id, root)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY root) - 1 AS component, * EXCLUDE (page_id, root) FROM boxes""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(_ink(spark, sf_dir))

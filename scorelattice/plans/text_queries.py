@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelattice.catalog import query
 from scorelattice.operators import harmony, lexing, parsing, proposals
 from scorelattice.plans.bridge import NOTES_SQL, SOURCES_SQL, notes, read, sources
+from scorelattice.plans.harmony_queries import _BASIC_SQL, _LABELS_SQL, _SYMBOL_SQL
 
 #: The composed texts need no look-ahead: a pattern that SQL's engine has too cuts them the same way.
 _TOKENS_SQL = f"""{NOTES_SQL}, {SOURCES_SQL},
@@ -56,7 +57,11 @@ def tie_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("score_id").agg(F.count("*").alias("n_notes"), F.count_if(F.col("tie")).alias("n_ties"))
 
 
-@query()
+@query(f"""WITH {NOTES_SQL}, {_BASIC_SQL},
+cells AS (SELECT *, dense_rank() OVER (PARTITION BY score_id, part_idx ORDER BY measure_index) - 1 AS cell FROM notes),
+sets AS (SELECT score_id, CAST(cell AS BIGINT) AS measure_index, list_sort(list(DISTINCT CAST(abs_semitone % 12 AS INT))) AS pcs, CAST(min(abs_semitone) % 12 AS INT) AS bass_pc FROM cells GROUP BY ALL),
+{_LABELS_SQL.format(keys="score_id, measure_index")}
+{_SYMBOL_SQL}""")
 def text_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From text to chords: lex, cut into parts and cells, label every measure."""
     return harmony.measure_labels(lexing.notes_of(parsing.grid_cells(_tokens(spark, sf_dir))))
