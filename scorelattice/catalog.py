@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from scorelattice.plans import harmony_queries, grid_queries, notation_queries, raster_queries, text_queries  # noqa: F401, I001
+    from scorelattice.plans import document_queries, grid_queries, harmony_queries, notation_queries, page_queries, raster_queries, reply_queries, text_queries  # noqa: F401, I001

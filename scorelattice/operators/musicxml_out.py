@@ -1,21 +1,21 @@
 """Played tokens to MusicXML 3.1 partwise documents.
 
-Tokens are poured into measures by a fold along each part, which also writes the notes of a measure;
-measures, parts and scores are then put together by ordered string aggregation in Spark.
+Spark lexes, plays out repeats, attaches ties and lyrics, transposes and deals tokens out by score; one
+fold along a score's parts pours them into measures and writes the document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor
+from itertools import groupby
+from math import floor, gcd, lcm
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorelattice.functions.pitch import FLATS, SHARPS, transposed, transposed_key
-from scorelattice.operators import folds, grid, lexing, parsing
+from scorelattice.operators import folds, lexing, parsing
 
 # Fixed values of the format.
 TYPES = {1: "64th", 2: "32nd", 4: "16th", 8: "eighth", 16: "quarter", 32: "half", 64: "whole", 128: "breve"}
@@ -27,6 +27,7 @@ ORNAMENTS = {"trill": "trill-mark", "mordent": "mordent", "invertedMordent": "in
 TECHNICAL = {"upBow": "<up-bow/>", "downBow": "<down-bow/>", "harmonic": "<harmonic><natural/></harmonic>", "snapPizz": "<snap-pizzicato/>", "stopped": "<stopped/>", "bend": "<bend><bend-alter>1</bend-alter></bend>"}
 JUMPS = {"DC": "D.C.", "DC.fine": "D.C. al Fine", "DC.coda": "D.C. al Coda", "DS": "D.S.", "DS.fine": "D.S. al Fine", "DS.coda": "D.S. al Coda"}
 KINDS = (("maj7", "major-seventh"), ("ma7", "major-seventh"), ("δ", "major-seventh"), ("maj9", "major-ninth"), ("maj", "major"), ("m7b5", "half-diminished"), ("m7(b5)", "half-diminished"), ("ø", "half-diminished"), ("min7", "minor-seventh"), ("m7", "minor-seventh"), ("min9", "minor-ninth"), ("m9", "minor-ninth"), ("min", "minor"), ("m", "minor"), ("dim7", "diminished-seventh"), ("°7", "diminished-seventh"), ("dim", "diminished"), ("°", "diminished"), ("aug7", "augmented-seventh"), ("+7", "augmented-seventh"), ("aug", "augmented"), ("+", "augmented"), ("sus2", "suspended-second"), ("sus", "suspended-fourth"), ("9", "dominant-ninth"), ("13", "dominant-13th"), ("11", "dominant-11th"), ("7", "dominant"), ("6", "major-sixth"))
+MIDI_PROGRAM = 53
 #: Commands that stay where they stand in a measure.
 INLINE = ("tempo", "tempoText", "dynamics", "segno", "coda", "jump", "fine", "tocoda", "rehearsal", "text", "expression", "breath", "caesura", "ottava", "pedal", "chord", "measureRepeat", "clefChange", "key")
 
@@ -126,10 +127,10 @@ def key_fifths(value: str) -> int:
 class _Writer:
     """The measures of one part."""
 
-    def __init__(self, head) -> None:
-        self.div, self.scale, self.fifths = head.div, head.scale, head.new_fifths
+    def __init__(self, head, scale: int) -> None:
+        self.div, self.scale, self.fifths = head.div, scale, head.new_fifths
         self.time = (head.time_num, head.time_den)
-        self.upm = _half_up(head.time_num / head.time_den * head.div) * head.scale
+        self.upm = _half_up(head.time_num / head.time_den * head.div) * scale
         self.measures: list[dict] = []
         self.left: str | None = None
         self.breath: str | None = None
@@ -265,12 +266,11 @@ class _Writer:
     def finished(self) -> list[dict]:
         while len(self.measures) > 1 and not self.now["any"] and not self.now["left"] and not self.now["right"]:
             self.measures.pop()
+        for m in self.measures:
+            m["fill"] = self.fill(m["upm"] - m["used"]) if m["upm"] > m["used"] else ""
         return self.measures
 
 
-_MEASURES = "score_id long, part_idx long, measure_index long, body string, time string, left string, right string"
-
-
 def _barline(side: str, style: str | None, volta: str | None, volta_end: str | None) -> str:
     if style is None and volta is None and volta_end is None:
         return ""
@@ -280,8 +280,9 @@ def _barline(side: str, style: str | None, volta: str | None, volta_end: str | N
     return _el("barline", _el("bar-style", BAR_STYLES[style]) if style else "", ending, _el("repeat", direction=repeat) if repeat else "", location=side)
 
 
-def _pour(part: list) -> Iterator[tuple]:
-    writer, group, target = _Writer(part[0]), None, 0
+def _measures(part: list, scale: int) -> list[dict]:
+    """The measures of one part: body, time, left, right."""
+    writer, group, target = _Writer(part[0], scale), None, 0
     for tok in part:
         if tok.kind == "tupletOpen":
             group, target = [], tok.tuplet_units
@@ -299,20 +300,99 @@ def _pour(part: list) -> Iterator[tuple]:
             writer.meta(tok.meta_type, tok.meta_value, tok.clef)
         elif tok.kind == "measureBarrier" and group is None:
             writer.barrier(tok.barline)
-    before = (part[0].time_num, part[0].time_den)
-    for k, m in enumerate(writer.finished()):
-        time = ""
-        if k and m["time"] and m["time"] != before:
-            time = _el("attributes", _el("time", _el("beats", m["time"][0]), _el("beat-type", m["time"][1])))
-        before = m["time"] or before
-        if not m["any"]:
-            num, den = m["time"] or (part[0].time_num, part[0].time_den)
-            length = num / den * part[0].div * part[0].scale
-            body = _el("note", '<rest measure="yes"/>', _el("duration", int(length) if length == int(length) else length), _el("voice", 1))
-        else:
-            body = "".join(m["xml"]) + (writer.fill(m["upm"] - m["used"]) if m["upm"] > m["used"] else "")
-        right = m["right"] if m["right"] != "single" else None
-        yield part[0].score_id, part[0].part_idx, k, body, time, _barline("left", m["left"], m["volta"], None), _barline("right", right, None, m["volta_end"])
+    return writer.finished()
+
+
+def _score_scale(parts: list[list]) -> int:
+    """The smallest factor that makes every tuplet member of a score a whole number of units."""
+    out = 1
+    for part in parts:
+        target, members = None, 0
+        for tok in part:
+            if tok.kind == "tupletOpen":
+                target, members = tok.tuplet_units, 0
+            elif tok.kind == "tupletClose" and target is not None:
+                if members and target:
+                    out = lcm(out, members // gcd(target, members))
+                target = None
+            elif target is not None and tok.kind in ("note", "rest"):
+                members += 1
+    return out
+
+
+def _length(part: list) -> int:
+    """Units that a part plays, its graces left out."""
+    out, inside = 0, False
+    for tok in part:
+        if tok.kind == "tupletOpen":
+            out, inside = out + (tok.tuplet_units or 0), True
+        elif tok.kind == "tupletClose":
+            inside = False
+        elif tok.kind in ("note", "rest") and not inside and not tok.grace:
+            out += tok.units or 0
+    return out
+
+
+def _padding(head, missing: int, upm: int) -> Iterator:
+    """Whole-measure rests, each with a barrier, for what a part lacks."""
+    for at in range(0, missing, upm):
+        yield head._replace(kind="rest", units=min(upm, missing - at), dots=0, grace=None, tie=False, lyric=None, marks=None, pitches=None, head=None, slur_start=None)
+        yield head._replace(kind="measureBarrier", barline="single")
+
+
+def _written(score: list) -> Iterator[tuple]:
+    """(score_id, music_xml without its title, n_parts, n_measures) of a score's tokens, by part and in order."""
+    first = score[0]
+    parts = [list(own) for _, own in groupby(score, key=lambda t: t.part_idx)]
+    scale, upm = _score_scale(parts), _half_up(first.time_num / first.time_den * first.div)
+    longest = max(map(_length, parts))
+    if len(parts) > 1 and upm > 0:
+        full = -(-longest // upm) * upm
+        parts = [[*p, *_padding(p[0], full - n, upm)] if (n := _length(p)) < full else p for p in parts]
+    tempo = next((float(t.meta_value) for p in parts for t in p if t.meta_type == "tempo" and t.kind == "meta"), None)
+    written = [_measures(p, scale) for p in parts]
+    n_measures = max(map(len, written))
+    entries, bodies = [], []
+    for k, (part, measures) in enumerate(zip(parts, written, strict=True)):
+        pid, name = part_meta(part[0].part, next((t.instrument for t in part if t.instrument is not None), None))
+        xml = "".join(_measure(part[0], j, m, scale, measures, tempo if k == 0 else None) for j, m in enumerate(measures))
+        whole = int(first.time_num * first.div * scale / first.time_den)
+        rest = f'<note><rest measure="yes"/><duration>{whole}</duration><voice>1</voice></note>'
+        xml += "".join(f'<measure number="{j + 1}">{rest}</measure>\n' for j in range(len(measures), n_measures))
+        instrument = f"{pid}-I1"
+        entries.append(_el("score-part", _el("part-name", _text(name)), _el("score-instrument", _el("instrument-name", _text(name)), id=instrument), _el("midi-instrument", _el("midi-channel", 1), _el("midi-program", MIDI_PROGRAM), id=instrument), id=pid))
+        bodies.append(f'<part id="{pid}">\n{xml}</part>')
+    yield first.score_id, "<part-list>" + "".join(entries) + "</part-list>\n" + "\n".join(bodies), len(parts), n_measures
+
+
+def _measure(head, at: int, m: dict, scale: int, measures: list[dict], tempo: float | None) -> str:
+    """One measure; the first has the attributes of its part, and in the first part the opening tempo."""
+    if at == 0:
+        shown = "" if tempo is None else f"{int(tempo) if tempo == int(tempo) else tempo}"
+        opening = "" if tempo is None else command("tempo", shown, None, "")
+        divisions = max(1, head.div // 4 * scale)
+        start = _el("attributes", _el("divisions", divisions), _el("key", _el("fifths", head.new_fifths)), _el("time", _el("beats", head.time_num), _el("beat-type", head.time_den)), _clef(head.header_clef))
+    else:
+        opening, before = "", next((x["time"] for x in reversed(measures[:at]) if x["time"]), (head.time_num, head.time_den))
+        changed = m["time"] and m["time"] != before
+        start = _el("attributes", _el("time", _el("beats", m["time"][0]), _el("beat-type", m["time"][1]))) if changed else ""
+    if m["any"]:
+        body = "".join(m["xml"]) + m["fill"]
+        if opening and opening in body:  # the opening tempo is written once
+            body = body.replace(opening, "", 1)
+    else:
+        num, den = m["time"] or (head.time_num, head.time_den)
+        length = num / den * head.div * scale
+        body = _el("note", '<rest measure="yes"/>', _el("duration", int(length) if length == int(length) else length), _el("voice", 1))
+    right = m["right"] if m["right"] != "single" else None
+    return f'<measure number="{at + 1}">' + _barline("left", m["left"], m["volta"], None) + start + opening + body + _barline("right", right, None, m["volta_end"]) + "</measure>\n"
+
+
+def part_meta(label: str, instrument: str | None) -> tuple[str, str]:
+    """(id, displayed name) of a part label, as lexing.part_meta has them."""
+    pid = "P_VP" if label == "P" else f"P_V{label}" if label.isdigit() else f"P_{label}"
+    default = {"P": "Voice Percussion", "M": "Voice"}.get(label, f"Voice {label}" if label.isdigit() else label)
+    return pid, default if label in ("P", "M") else instrument or default
 
 
 def transposed_pitches(pitches: Column, semitones: Column, new_fifths: Column) -> Column:
@@ -332,70 +412,31 @@ def played_tokens(scores: DataFrame) -> DataFrame:
     return rows.withColumn("pitches", transposed_pitches(F.col("pitches"), F.col("transpose"), F.col("new_fifths")))
 
 
-def padded(rows: DataFrame) -> DataFrame:
-    """Played tokens and the rests that bring short parts to the longest one's last measure."""
-    keys = ["score_id", "part_idx"]
-    heads = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("part", "time_num", "time_den", "key_fifths", "div", "transpose", "header_clef", "new_fifths")], F.sum(parsing.attached_units(rows)).alias("length"), F.max("play_idx").alias("last"))
-    upm = F.floor(F.col("time_num") / F.col("time_den") * F.col("div") + 0.5)
-    rests = grid.padding(heads.select(*keys, "length", upm.alias("_u")), F.col("_u"))
-    added = rests.join(heads, keys).select(*keys, *[c for c in heads.columns if c not in (*keys, "length")], "units", "rest_idx")
-    slot = F.explode(F.array(F.struct(F.lit("rest").alias("kind"), F.lit(0).alias("k")), F.struct(F.lit("measureBarrier").alias("kind"), F.lit(1).alias("k"))))
-    added = added.withColumn("s", slot).withColumns({"kind": F.col("s.kind"), "play_idx": F.col("last") + 1 + 2 * F.col("rest_idx") + F.col("s.k"), "units": F.when(F.col("s.k") == 0, F.col("units")).cast("int"), "barline": F.when(F.col("s.k") == 1, "single"), "dots": F.lit(0)})
-    return rows.unionByName(added.drop("s", "last", "rest_idx"), allowMissingColumns=True)
+_TOKEN = ["score_id", "part_idx", "play_idx", "part", "instrument", "kind", "units", "dots", "pitches", "marks", "head", "grace", "slur_start", "tie", "lyric", "meta_type", "meta_value", "clef", "barline", "tuplet_units", "time_num", "time_den", "div", "header_clef", "new_fifths"]
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE score-partwise PUBLIC "-//Recordare//DTD MusicXML 3.1 Partwise//EN" "http://www.musicxml.org/dtds/partwise.dtd">\n<score-partwise version="3.1">\n'
 
 
 def documents(scores: DataFrame, title: Column | None = None, composer: Column | None = None, lyricist: Column | None = None) -> DataFrame:
-    """score_id, music_xml, n_parts, n_measures of every score (score_id, source)."""
-    rows = played_tokens(scores)
-    opens = rows.where("kind = 'tupletOpen'").select("score_id", "part_idx", "tok_idx", F.col("tuplet_units").alias("target"))
-    members = rows.where("tuplet is not null and kind in ('note', 'rest')").groupBy("score_id", "part_idx", F.col("tuplet").alias("tok_idx")).agg(F.countDistinct("tok_idx").alias("total")).join(opens.distinct(), ["score_id", "part_idx", "tok_idx"])
-    scale = grid.tuplet_scale(members)
-    rows = padded(rows).join(scale, "score_id", "left").withColumn("scale", F.coalesce("scale", F.lit(1)).cast("int"))
-    wanted = ["score_id", "part_idx", "play_idx", "kind", "units", "dots", "pitches", "marks", "head", "grace", "slur_start", "tie", "lyric", "meta_type", "meta_value", "clef", "barline", "tuplet_units", "time_num", "time_den", "div", "scale", "new_fifths"]
-    measures = folds.by_key(rows.select(*wanted), ["score_id", "part_idx"], ["play_idx"], _pour, _MEASURES)
-    parts = rows.groupBy("score_id", "part_idx").agg(F.first("part").alias("part"), F.max("instrument").alias("instrument"), *[F.first(c).alias(c) for c in ("time_num", "time_den", "div", "scale", "new_fifths", "header_clef")])
-    names = scores.select("score_id", "source")
-    tempo = grid.first_tempo(rows.withColumns({"idx": F.col("play_idx"), "bpm": F.when(F.col("meta_type") == "tempo", F.col("meta_value").cast("double"))}))
-
-    # short parts get whole-measure rests
-    per_part = measures.groupBy("score_id", "part_idx").agg(F.max("measure_index").alias("last"))
-    most = per_part.groupBy("score_id").agg((F.max("last") + 1).alias("n_measures"))
-    gaps = per_part.join(most, "score_id").where("last + 1 < n_measures").withColumn("measure_index", F.explode(F.sequence(F.col("last") + 1, F.col("n_measures") - 1))).join(parts.select("score_id", "part_idx", "time_num", "time_den", "div", "scale"), ["score_id", "part_idx"])
-    whole = (F.col("time_num") * F.col("div") * F.col("scale") / F.col("time_den")).cast("long").cast("string")
-    gaps = gaps.select("score_id", "part_idx", "measure_index", F.concat(F.lit('<note><rest measure="yes"/><duration>'), whole, F.lit("</duration><voice>1</voice></note>")).alias("body"), *[F.lit("").alias(c) for c in ("time", "left", "right")])
-    every = measures.unionByName(gaps).join(parts, ["score_id", "part_idx"]).join(tempo, "score_id", "left")
-    clef = F.element_at(F.create_map(*[F.lit(x) for k in CLEF_SIGNS for x in (k, _clef(k))]), F.col("header_clef"))
-    num = lambda c: F.col(c).cast("string")
-    divisions = F.greatest(F.lit(1), F.floor(F.col("div") / 4) * F.col("scale")).cast("string")
-    opening = F.concat(F.lit("<attributes><divisions>"), divisions, F.lit("</divisions><key><fifths>"), num("new_fifths"), F.lit("</fifths></key><time><beats>"), num("time_num"), F.lit("</beats><beat-type>"), num("time_den"), F.lit("</beat-type></time>"), clef, F.lit("</attributes>"))
-    shown = F.regexp_replace(F.col("bpm").cast("string"), r"\.0$", "")
-    at_start = F.when((F.col("part_idx") == F.min("part_idx").over(Window.partitionBy("score_id"))) & F.col("bpm").isNotNull(), F.concat(F.lit('<direction placement="above"><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>'), shown, F.lit('</per-minute></metronome></direction-type><sound tempo="'), shown, F.lit('"/></direction>'))).otherwise("")
-    first = F.col("measure_index") == 0
-    # the opening tempo is written once: not again where it stands in the first measure
-    own_body = F.when(first & (at_start != ""), F.concat(at_start, F.expr("CASE WHEN instr(body, tempo_xml) > 0 THEN concat(substring(body, 1, instr(body, tempo_xml) - 1), substring(body, instr(body, tempo_xml) + length(tempo_xml))) ELSE body END"))).otherwise(F.col("body"))
-    every = every.withColumn("tempo_xml", at_start)
-    xml = F.concat(F.lit('<measure number="'), (F.col("measure_index") + 1).cast("string"), F.lit('">'), F.col("left"), F.when(first, opening).otherwise(F.col("time")), own_body, F.col("right"), F.lit("</measure>"))
-    ordered = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x["text"]), "\n")
-    bodies = every.select("score_id", "part_idx", "measure_index", xml.alias("text")).groupBy("score_id", "part_idx").agg(ordered("measure_index", "text").alias("body"))
-    meta = lexing.part_meta(F.col("part"), F.col("instrument"))
-    whole_parts = bodies.join(parts.withColumn("m", meta), ["score_id", "part_idx"])
-    name = _xml_text(F.col("m.display_name"))
-    pid = F.col("m.part_id")
-    entry = F.concat(F.lit('<score-part id="'), pid, F.lit('"><part-name>'), name, F.lit('</part-name><score-instrument id="'), pid, F.lit('-I1"><instrument-name>'), name, F.lit('</instrument-name></score-instrument><midi-instrument id="'), pid, F.lit('-I1"><midi-channel>1</midi-channel><midi-program>'), F.col("m.midi_program").cast("string"), F.lit("</midi-program></midi-instrument></score-part>"))
-    part_xml = F.concat(F.lit('<part id="'), pid, F.lit('">\n'), F.col("body"), F.lit("\n</part>"))
-    joined = whole_parts.select("score_id", "part_idx", entry.alias("entry"), part_xml.alias("xml")).groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("part_idx", "entry", "xml"))).alias("ps"))
-    joined = joined.join(most, "score_id").join(names, "score_id")
+    """score_id, music_xml, n_parts, n_measures of every score (score_id, source).
+
+    A score's played tokens are written by one call, part by part: a score is a text of one row, so it fits a task.
+    """
+    rows = played_tokens(scores).select(*_TOKEN)
+    found = folds.by_key(rows, ["score_id"], ["part_idx", "play_idx"], _written, "score_id long, body string, n_parts int, n_measures int")
     credit = F.lit("")
     if title is not None:
-        credit = F.concat(credit, F.lit("<work><work-title>"), _xml_text(title), F.lit("</work-title></work>"))
+        credit = F.concat(credit, F.lit("<work><work-title>"), escaped(title), F.lit("</work-title></work>"))
     for kind, value in (("composer", composer), ("lyricist", lyricist)):
         if value is not None:
-            credit = F.concat(credit, F.lit(f'<identification><creator type="{kind}">'), _xml_text(value), F.lit("</creator></identification>"))
-    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE score-partwise PUBLIC "-//Recordare//DTD MusicXML 3.1 Partwise//EN" "http://www.musicxml.org/dtds/partwise.dtd">\n<score-partwise version="3.1">\n'), credit, F.lit("<part-list>"), F.array_join(F.transform("ps", lambda p: p["entry"]), ""), F.lit("</part-list>\n"), F.array_join(F.transform("ps", lambda p: p["xml"]), "\n"), F.lit("\n</score-partwise>"))
-    return joined.select("score_id", text.alias("music_xml"), F.size("ps").alias("n_parts"), F.col("n_measures").cast("int").alias("n_measures"))
+            credit = F.concat(credit, F.lit(f'<identification><creator type="{kind}">'), escaped(value), F.lit("</creator></identification>"))
+    if title is not None or composer is not None or lyricist is not None:
+        found = found.join(scores.select("score_id", credit.alias("_credit")), "score_id")
+    else:
+        found = found.withColumn("_credit", F.lit(""))
+    return found.select("score_id", F.concat(F.lit(_HEAD), "_credit", "body", F.lit("\n</score-partwise>")).alias("music_xml"), "n_parts", "n_measures")
 
 
-def _xml_text(value: Column) -> Column:
+def escaped(value: Column) -> Column:
     """Escaped text, the ampersand first."""
     for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         value = F.replace(value, F.lit(raw), F.lit(code))

@@ -128,16 +128,21 @@ def first_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.first_tempo(notes(spark, sf_dir).select("score_id", "part_idx", (F.col("measure_index") * 1000 + F.col("seq")).alias("idx"), bpm.alias("bpm")))
 
 
-@query(f"""WITH RECURSIVE {NOTES_SQL},
-queue AS (SELECT score_id, part_idx, row_number() OVER (PARTITION BY score_id, part_idx ORDER BY measure_index, seq) - 1 AS seq, units * CASE WHEN abs_semitone % 5 = 0 THEN 6 ELSE 1 END AS units FROM notes),
-pour AS (
+#: Notes of queue (score_id, part_idx, seq from 0, units) poured into measures: out_seq, out_piece, measure_index, begin_at, units, tie_out.
+POUR_SQL = f"""pour AS (
   SELECT score_id, part_idx, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS piece, units AS due, CAST(0 AS BIGINT) AS measure, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS begin_at, CAST(NULL AS BIGINT) AS units, false AS tie_out, CAST(0 AS BIGINT) AS measure_index, CAST(0 AS BIGINT) AS out_seq, CAST(0 AS BIGINT) AS out_piece FROM queue WHERE seq = 0
   UNION ALL SELECT score_id, part_idx, CASE WHEN fits THEN seq + 1 ELSE seq END, CASE WHEN fits THEN 0 WHEN splits THEN piece + 1 ELSE piece END,
     CASE WHEN fits THEN next_units WHEN splits THEN due - room ELSE due END, CASE WHEN fits AND used + due < {EXPECTED} THEN measure ELSE measure + 1 END, CASE WHEN fits AND used + due < {EXPECTED} THEN used + due ELSE 0 END,
     CASE WHEN fits OR splits THEN used END, CASE WHEN fits THEN due WHEN splits THEN room END, splits, measure, seq, piece
   FROM (SELECT p.* EXCLUDE (begin_at, units, tie_out, measure_index, out_seq, out_piece), {EXPECTED} - used AS room, due <= {EXPECTED} - used AS fits, due > {EXPECTED} - used AND used < {EXPECTED} AND due > {EXPECTED} AS splits, q.units AS next_units
-    FROM pour p LEFT JOIN queue q ON q.score_id = p.score_id AND q.part_idx = p.part_idx AND q.seq = p.seq + 1 WHERE due IS NOT NULL))
-SELECT score_id, part_idx, out_seq AS seq, out_piece AS piece, measure_index, begin_at AS "at", units, tie_out FROM pour WHERE begin_at IS NOT NULL""")
+    FROM pour p LEFT JOIN queue q ON q.score_id = p.score_id AND q.part_idx = p.part_idx AND q.seq = p.seq + 1 WHERE due IS NOT NULL)),
+poured AS (SELECT * FROM pour WHERE begin_at IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {NOTES_SQL},
+queue AS (SELECT score_id, part_idx, row_number() OVER (PARTITION BY score_id, part_idx ORDER BY measure_index, seq) - 1 AS seq, units * CASE WHEN abs_semitone % 5 = 0 THEN 6 ELSE 1 END AS units FROM notes),
+{POUR_SQL}
+SELECT score_id, part_idx, out_seq AS seq, out_piece AS piece, measure_index, begin_at AS "at", units, tie_out FROM poured""")
 def bucketize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part poured into measures; a fifth of the notes are made long, so that they are split."""
     return grid.bucketize(notes(spark, sf_dir).withColumn("units", F.col("units") * F.when(F.col("abs_semitone") % 5 == 0, 6).otherwise(1)), EXPECTED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelattice.catalog import query
 from scorelattice.operators import harmony, lexing, parsing, proposals
-from scorelattice.plans.bridge import NOTES_SQL, SOURCES_SQL, notes, read, sources
+from scorelattice.plans.bridge import NOTES_SQL, SOURCES_SQL, notes, sources
 from scorelattice.plans.harmony_queries import _BASIC_SQL, _LABELS_SQL, _SYMBOL_SQL
 
 #: The composed texts need no look-ahead: a pattern that SQL's engine has too cuts them the same way.
@@ -122,11 +122,3 @@ def override_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = ids.where("part_idx % 3 <> 0").withColumn("at", F.explode(F.array(F.lit(0), F.lit(1)))).where("at = 0 or measure_index % 2 = 0")
     given = given.select("key", "cell_id", "at", F.concat("cell_id", F.lit("/"), F.col("at").cast("string")).alias("text"))
     return proposals.reconcile(asked, given).withColumn("text", F.coalesce("text", F.lit("-")))
-
-
-@query(r"""WITH parts AS (SELECT page_id, regexp_extract_all(html, '<([a-z0-9]+)[^<>]*>', 1) AS tags FROM pages)
-SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(tags) AS tag FROM parts) GROUP BY ALL""")
-def xml_note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of a document by pattern: the shape of block extraction from mark-up."""
-    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<([a-z0-9]+)[^<>]*>"), F.lit(1))).alias("tag"))
-    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
