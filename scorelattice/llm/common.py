@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -58,7 +59,8 @@ def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark) + '/scorelattice'}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if folder is None:
         out._scratch = path
@@ -66,6 +68,20 @@ def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within get Arrow batches of bounded size from the JVM too; afterwards the session is as it was."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() made and that nothing reads any more."""
     for df in tables:
