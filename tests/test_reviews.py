@@ -11,7 +11,8 @@ GOOD = "[1]| C5m | D5m |\n[2]| E4m | F4m |\n[3]| G4m | A4m |"
 
 
 def test_analysis_counts(spark):
-    rows = {r["score_id"]: r for r in reviews.analysis(reviews.Analysed(scores(spark, GOOD, "[1]| C5m | [Dzz] D5l |\n[2]| C4m |"))).collect()}
+    with reviews.Analysed(scores(spark, GOOD, "[1]| C5m | [Dzz] D5l |\n[2]| C4m |")) as of:
+        rows = {r["score_id"]: r for r in reviews.analysis(of).collect()}
     assert (rows[0]["n_measures"], rows[0]["n_chords"], rows[0]["kinds"]) == (2, 2, [])
     assert rows[1]["kinds"] == ["measureCountMismatch", "measureDurationMismatch", "parseError"]
 
@@ -26,7 +27,10 @@ def test_long_cells_are_cut(spark):
 def test_proposals_are_judged(spark):
     worse = GOOD.replace("D5m", "B7m")
     replies = spark.createDataFrame([(7, 0, f"Try this.\n```score\n{worse}\n```\nor\n```score\n[1]| C5m [Dzz] |\n```")], "response_id long, score_id long, text string")
-    rows = {r["proposal_idx"]: r for r in reviews.judged(scores(spark, GOOD), replies).collect()}
+    found = reviews.versions(replies)
+    with reviews.Analysed(scores(spark, GOOD)) as before, reviews.Analysed(found.select(F.col("proposal_id").alias("score_id"), "source")) as after:
+        rows = {r["proposal_idx"]: r for r in reviews.judged(before, found, after).collect()}
+    assert not before.cells.is_cached and not after.tokens.is_cached
     assert rows[0]["valid"] and rows[0]["measure_delta"] == 0 and rows[0]["chord_delta"] == -1 and rows[0]["observation_delta"] > 0
     assert not rows[1]["valid"]
 
