@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelattice.llm.common import map_batches
 
-#: The vocabulary: a list of tokens and ranks. A parameter of every entry point.
+#: The vocabulary: a list of tokens and ranks. A parameter of every entry point; executors needn't have the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the public vocabulary was trained with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,9 +42,8 @@ MOST_CACHED, LONGEST_CACHED = 200_000, 24
 class Encoder:
     """Token counts of pre-tokens, the short ones remembered."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN) -> None:
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN) -> None:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(pattern)
         self.known: dict[str, int] = {}
@@ -64,9 +63,21 @@ class Encoder:
         return [n if (n := get(p)) is not None else self.count(p) for p in pieces]
 
 
+def vocabulary(path: str = VOCABULARY, spark: SparkSession | None = None) -> bytes:
+    """The vocabulary's bytes, read by the driver, or by Spark where the path names a store. Tens of thousands of tokens: it travels with the tasks."""
+    if "://" in path and spark is not None:
+        return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    with open(path, "rb") as file:
+        return file.read()
+
+
 @lru_cache(maxsize=4)
+def encoder_of(data: bytes, pattern: str = PATTERN) -> Encoder:
+    return Encoder(data, pattern)
+
+
 def encoder(path: str = VOCABULARY, pattern: str = PATTERN) -> Encoder:
-    return Encoder(path, pattern)
+    return encoder_of(vocabulary(path), pattern)
 
 
 class TokenTree:
@@ -238,8 +249,11 @@ def count_tokens(docs: DataFrame, edits: DataFrame | None = None, path: str = VO
 def apply_edits(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """As count_tokens, over rows (doc_id, text, edits)."""
 
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary(path, spark))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = encoder(path)
+        by = encoder_of(shared.value)
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(6)]
             for text, edits in zip(batch.column(1), batch.column(2), strict=True):
