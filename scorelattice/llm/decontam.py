@@ -24,7 +24,6 @@ by clean().
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,8 @@ LEAST_WORDS, LEAST_EQUAL = 13, 0.8
 #: ... or this share of all words of the item.
 LEAST_COVER = 0.8
 SHORTEST = 5
-#: Items of one broadcast part.
-PART_ITEMS = 20_000
+#: Items of one broadcast part, and the characters beyond which it takes no further one.
+PART_ITEMS, PART_CHARS = 20_000, 32_000_000
 #: Words compared in one go around hits.
 COMPARED = 1 << 20
 _EDGE_MARKS = np.zeros(256, bool)
@@ -169,7 +168,14 @@ def _overlaps(items: Items, tables: list[np.ndarray], words: np.ndarray, first:
 def item_parts(benchmark: DataFrame, most: int = PART_ITEMS) -> Iterator[Items]:
     """The items in parts of bounded size, one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator()
-    while part := list(islice(rows, most)):
+    part, chars = [], 0
+    for row in rows:
+        part.append(row)
+        chars += len(row["text"])
+        if len(part) >= most or chars >= PART_CHARS:
+            yield Items([r["item_id"] for r in part], [r["text"] for r in part])
+            part, chars = [], 0
+    if part:
         yield Items([r["item_id"] for r in part], [r["text"] for r in part])
 
 
