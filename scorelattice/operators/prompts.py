@@ -95,7 +95,12 @@ def cell_overrides(responses: DataFrame, tag: str = "score") -> DataFrame:
     return rows.select("key", F.regexp_extract("line", r"(p\d+s\d+i\d+m\d+)", 1).alias("cell_id"), "at", F.trim(F.regexp_extract("line", r"\*/([^\n]*)", 1)).alias("text"))
 
 
-def review_prompt(parts: DataFrame, most_warnings: int = 50) -> DataFrame:
-    """key, part, prompt for the review of each part. parts: key, part, line, warnings (array)."""
+def review_prompt(parts: DataFrame, most_warnings: int = 50, most_pages: int = 8) -> DataFrame:
+    """key, part, prompt and, if parts has them, the first pages for the review of each part.
+
+    parts: key, part, line, warnings (array), pages (array, optional). Warnings and pages beyond the limits are left out.
+    """
     listed = F.array_join(F.slice("warnings", 1, most_warnings), "\n- ")
-    return parts.select("key", "part", F.concat(F.lit("Check this part against the pages, measure by measure. Keep the number of measures.\n"), "line", F.when(F.size("warnings") > 0, F.concat(F.lit("\nKnown doubts:\n- "), listed)).otherwise("")).alias("prompt"))
+    text = F.concat(F.lit("Check this part against the pages, measure by measure. Keep the number of measures.\n"), "line", F.when(F.size("warnings") > 0, F.concat(F.lit("\nKnown doubts:\n- "), listed)).otherwise("")).alias("prompt")
+    shown = [F.slice("pages", 1, most_pages).alias("pages")] if "pages" in parts.columns else []
+    return parts.select("key", "part", text, *shown)

@@ -199,12 +199,41 @@ def test_import_of_timewise_and_broken_documents(spark):
     assert got[1]["error"] == "no document" and got[2]["n_measures"] == 1
 
 
-CORPUS = os.environ.get("SCORE_CORPUS", "")
+#: Scores of our own, unless SCORE_CORPUS names a folder of others.
+CORPUS = os.environ.get("SCORE_CORPUS") or os.path.join(os.path.dirname(__file__), "corpus")
 
 
-@pytest.mark.skipif(not os.path.isdir(CORPUS), reason="SCORE_CORPUS names no folder of notation files")
-def test_corpus_lexes(spark):
-    texts = files.read_texts(spark, CORPUS)
-    rows = lexing.tokens(texts)
-    assert rows.where("error is not null").count() == 0
+def test_corpus_reads(spark):
+    """Every file lexes, has cells of every part, compiles, and reads back with the same notes."""
+    texts = files.read_texts(spark, CORPUS).cache()
+    rows = lexing.tokens(texts).cache()
+    assert texts.count() >= 5 and rows.where("error is not null").count() == 0
+    assert parsing.group_issues(rows).where("level = 'error'").count() == 0
     assert parsing.grid_cells(rows).select("score_id").distinct().count() == texts.count()
+    docs = musicxml_out.documents(texts)
+    back = musicxml_in.sources(docs.select("score_id", F.col("music_xml").alias("xml")))
+    assert back.where("error is not null or n_parts = 0").count() == 0
+    diagnostics = files.diagnostics(back).where("kind <> 'nonStandardDuration'")
+    assert diagnostics.count() == 0
+    rows.unpersist()
+    texts.unpersist()
+
+
+@pytest.mark.parametrize("text, out", [(":::::C4k:2:2:2:2:2", 32), (":" * 9 + "C4k" + ":2" * 9, 512), (":2 C4k :D4k:3", 4), (":C4k :D4k:2", 3)])
+def test_repeats_of_any_depth(spark, text, out):
+    tokens = lexing.tokens(scores(spark, text))
+    assert parsing.flattened_repeats(tokens).where("kind = 'note'").count() == out
+
+
+def test_lexing_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = scores(spark, "C4k " * n).cache()
+        df.count()
+        began = time.perf_counter()
+        assert lexing.tokens(df).selectExpr("max(offset)", "count(*)").first()[0] == 4 * (n - 1)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(80_000) for _ in range(2)) < 2.5 * min(seconds(40_000) for _ in range(2)) + 0.3
