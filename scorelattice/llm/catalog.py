@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelattice.llm import decontam, embedding_dedup, lang_id, mixing, pii, quality, secrets, simhash, substring_dedup, token_counts
+from scorelattice.llm.simhash_sql import OP8_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +57,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
 
 
 def queries() -> dict[str, Query]:
@@ -65,7 +67,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op8_simhash": OP8_SQL, "op10_decontamination": OP10_SQL}
 
 
 OP5_SQL = r"""
@@ -89,3 +91,18 @@ degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN component ON component.x = v.vec_id LEFT JOIN degree ON degree.x = v.vec_id
 """
+
+# Every alignment of a document and an item by their equal words; of each its longest stretch with equal ends and
+# enough equal words, found among all pairs of ends.
+OP10_SQL = r"""
+WITH marks AS (SELECT '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~' AS m),
+d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS i, coalesce(item_id, -1) AS item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT d, p, coalesce(nullif(trim(ws[p], m), ''), ws[p]) AS w FROM d, marks, unnest(range(1, len(ws) + 1)) AS r(p)),
+iw AS (SELECT i, q, least(13, greatest(5, CAST(ceil(len(ws) * 8 / 10.0) AS BIGINT))) AS need, coalesce(nullif(trim(ws[q], m), ''), ws[q]) AS w FROM i, marks, unnest(range(1, len(ws) + 1)) AS r(q) WHERE len(ws) >= 5),
+hits AS (SELECT d, i, p - q AS shift, q, need, row_number() OVER (PARTITION BY d, i, p - q ORDER BY q) AS rn, count(*) OVER (PARTITION BY d, i, p - q) AS n FROM dw JOIN iw USING (w)),
+ends AS (SELECT * FROM hits WHERE 5 * n >= 4 * need),
+best AS (SELECT a.d, a.i, a.shift, max(b.q - a.q + 1) AS words FROM ends a JOIN ends b ON b.d = a.d AND b.i = a.i AND b.shift = a.shift AND b.q >= a.q WHERE 5 * (b.rn - a.rn + 1) >= 4 * (b.q - a.q + 1) AND b.q - a.q + 1 >= a.need GROUP BY ALL),
+found AS (SELECT d, count(*) AS n, max(words) AS longest, list_sort(list(DISTINCT item_id)) AS items FROM best JOIN i USING (i) GROUP BY d)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_overlaps, coalesce(longest, 0) AS longest, coalesce(array_to_string(items, ','), '') AS items FROM d LEFT JOIN found USING (d)
+"""

@@ -15,7 +15,7 @@ def test_query(spark, name):
     rows = sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=repr)
     con = duckdb.connect()
     table = "embeddings" if name.startswith("op6_") else "documents"
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     assert len(rows) == con.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     if name in catalog.oracle_sql():
