@@ -62,26 +62,36 @@ CLEFS = {"TREBLE": "TREBLE", "T": "TREBLE", "BASS": "BASS", "B": "BASS", "T8": "
 BARE_CLEFS = {k: CLEFS[k] for k in ("T", "B", "T8", "T-8", "A", "TE", "PE", "N", "SO", "BR")}
 
 
-def kind_of(raw: Column) -> Column:
-    """The kind of a piece: the branch of the pattern that can begin as the piece does."""
-    first, last = F.left(raw, F.lit(1)), F.right(raw, F.lit(1))
-    alone = F.length(raw) == 1
-    return (
-        F.when(first.isin(" ", "\t", "\n", "\r"), "space")
-        .when((first.between("A", "G") | first.between("a", "g") | (first == "`")) & ~alone, "note")
+def _blank(raw: Column) -> Column:
+    """Whether a piece is white space or a comment: a short test, as plans repeat what they filter by."""
+    comment = raw.startswith("/*") & raw.endswith("*/") & (F.length(raw) > 3)
+    return F.left(raw, F.lit(1)).isin(" ", "\t", "\n", "\r", ";") | comment | (raw == "'")
+
+
+def with_kind(rows: DataFrame) -> DataFrame:
+    """kind of a piece: the branch of the pattern that can begin as the piece does.
+
+    The first character, and whether it is alone, are columns of their own, so that they are worked out once.
+    """
+    rows = rows.withColumns({"_first": F.left("raw", F.lit(1)), "_alone": F.length("raw") == 1})
+    raw, first, alone = F.col("raw"), F.col("_first"), F.col("_alone")
+    kind = (
+        F.when(first.isin(*"ABCDEFGabcdefg`") & ~alone, "note")
+        .when(first.isin(" ", "\t", "\n", "\r"), "space")
         .when(first == "|", "barline")
-        .when(first == "[", F.when((last == "]") & ~alone, "meta").otherwise("unclosedMeta"))
+        .when(first == "[", F.when(~alone & raw.endswith("]"), "meta").otherwise("unclosedMeta"))
         .when((first == ",") | (raw == ":,"), "measureBarrier")
         .when(first == ":", "repeatBoundary")
         .when(first == "+", "tie")
         .when(first == ")", "tupletClose")
         .when((first == "R") & ~alone, "rest")
-        .when(first.between("0", "9") & (last == "("), "tupletOpen")
+        .when(first.isin(*"0123456789") & raw.endswith("("), "tupletOpen")
         .when(first == ";", "comment")
-        .when(raw.startswith("/*"), F.when(raw.endswith("*/") & (F.length(raw) > 3), "comment").otherwise("unclosedComment"))
+        .when(raw.startswith("/*"), F.when(_blank(raw), "comment").otherwise("unclosedComment"))
         .when((first == "'") & alone, "space")
         .otherwise("lyric")
     )
+    return rows.withColumn("kind", kind).drop("_first", "_alone")
 
 
 # --- header ---------------------------------------------------------------
@@ -162,17 +172,24 @@ def _alter(text: Column) -> Column:
     return F.when(text == "#", 1).when(text == "x", 2).when(text == "bb", -2).when(text == "b", -1).otherwise(0)
 
 
-def pitches(raw: Column) -> Column:
-    """The pitches of a note piece: array of struct(step, octave, alter). No mark after the length looks like one."""
+def _pitch_texts(raw: Column) -> Column:
+    """The texts of a note piece's pitches. No mark after the length looks like one."""
+    return F.regexp_extract_all(raw, F.lit(_PITCH), F.lit(0))
 
-    def one(p: Column) -> Column:
-        digit = F.translate(p, _NO_DIGITS, "")
-        at = F.instr(p, digit)
-        first, second = p.substr(F.lit(2), at - 2), F.split_part(p.substr(at + 1, F.lit(2)), F.lit("!"), F.lit(1))
-        alter = F.when(second == "*", 0).otherwise(_alter(first) + _alter(second))
-        return F.struct(F.upper(F.left(p, F.lit(1))).alias("step"), digit.cast("int").alias("octave"), clamped_alter(alter).cast("int").alias("alter"))
 
-    return F.transform(F.regexp_extract_all(raw, F.lit(_PITCH), F.lit(0)), one)
+def _pitch(p: Column) -> tuple[Column, Column, Column]:
+    """(step, octave, alter) of a pitch's text."""
+    digit = F.translate(p, _NO_DIGITS, "")
+    at = F.instr(p, digit)
+    first, second = p.substr(F.lit(2), at - 2), F.split_part(p.substr(at + 1, F.lit(2)), F.lit("!"), F.lit(1))
+    alter = F.when(second == "*", 0).otherwise(_alter(first) + _alter(second))
+    return F.upper(F.left(p, F.lit(1))), digit.cast("int"), clamped_alter(alter).cast("int")
+
+
+def pitches(raw: Column) -> Column:
+    """The pitches of a note piece: array of struct(step, octave, alter)."""
+    named = lambda p: F.struct(*[c.alias(n) for c, n in zip(_pitch(p), ("step", "octave", "alter"), strict=True)])
+    return F.transform(_pitch_texts(raw), lambda p: named(p))
 
 
 def _suffixes(raw: Column) -> Column:
@@ -238,17 +255,21 @@ def pieces(scores: DataFrame) -> DataFrame:
     found = cut.select("score_id", "div", "start", F.posexplode(F.regexp_extract_all(F.expr("substring(source, start + 1)"), F.lit(MASTER), F.lit(0))).alias("piece", "raw"))
     before = Window.partitionBy("score_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.col("start") + F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int")
-    return found.select("score_id", "div", "piece", kind_of(F.col("raw")).alias("kind"), "raw", offset.alias("offset"))
+    return with_kind(found.select("score_id", "div", "piece", "raw", offset.alias("offset")))
 
 
 def tokens(scores: DataFrame) -> DataFrame:
     """Token rows of each score. tok_idx grows along the text and isn't dense: it counts pieces."""
-    rows = pieces(scores).where(~F.col("kind").isin("space", "comment"))
+    rows = pieces(scores).where(~_blank(F.col("raw")))
     raw, kind = F.col("raw"), F.col("kind")
     is_note, is_meta = kind == "note", kind == "meta"
     inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
     # what follows the pitches: a letter and dots
-    rows = rows.withColumn("_length", F.when(is_note, F.regexp_extract(raw, rf"^`{{0,2}}(?:{_PITCH})++({_LENGTH}\.{{0,3}})", 1)).when(kind == "rest", F.expr("substring(raw, 2)")))
+    # (most pieces are a plain pitch and a letter, which needs no pattern)
+    plain = (F.length(raw) == 3) & raw.substr(2, 1).between("0", "9") & raw.substr(1, 1).between("A", "g")
+    sharp = (F.length(raw) == 4) & raw.substr(2, 1).isin("#", "b") & raw.substr(3, 1).between("0", "9") & raw.substr(1, 1).between("A", "g")
+    by_pattern = F.regexp_extract(raw, rf"^`{{0,2}}(?:{_PITCH})++({_LENGTH}\.{{0,3}})", 1)
+    rows = rows.withColumn("_length", F.when(is_note, F.when(plain | sharp, F.right(raw, F.lit(1))).otherwise(by_pattern)).when(kind == "rest", F.expr("substring(raw, 2)")))
     dots = F.length("_length") - 1
     grace = F.when(is_note & raw.startswith("``"), "acciaccatura").when(is_note & raw.startswith("`"), "grace")
     own = F.when(is_meta, inner)
@@ -281,9 +302,12 @@ def tokens(scores: DataFrame) -> DataFrame:
 
 
 def notes_of(tokens_: DataFrame) -> DataFrame:
-    """A row for each pitch of each note: the columns of the token and abs_semitone."""
-    p = F.col("p")
-    return tokens_.where("kind = 'note'").withColumn("p", F.explode("pitches")).withColumn("abs_semitone", absolute(p["step"], p["octave"], p["alter"]).cast("long")).drop("p")
+    """A row for each pitch of each note: the columns of the token and abs_semitone.
+
+    Pitches are read again from the piece, which is short, so that plans don't carry them through their sorts.
+    """
+    rows = tokens_.where("kind = 'note'").withColumn("_p", F.explode(_pitch_texts(F.col("raw"))))
+    return rows.withColumn("abs_semitone", absolute(*_pitch(F.col("_p"))).cast("long")).drop("_p")
 
 
 def line_column(source: Column, offset: Column) -> Column:

@@ -74,52 +74,47 @@ def loose_marks(tokens: DataFrame) -> DataFrame:
     return marked.where(loose).select("score_id", "tok_idx", "kind", "raw", "offset")
 
 
-def _plays(score: list) -> Iterator[tuple]:
-    """(score_id, plays) of a score's repeat marks: for each segment between marks the turns at which it is played.
+def _played_segments(marks: Column) -> Column:
+    """For each segment between repeat marks the turns at which it is played: array of arrays.
 
-    A group that isn't closed is played once; an end without a start counts for nothing.
+    marks: the repeat counts of a score's marks in order, null for a start. Bodies of open groups are kept on a
+    stack; an end puts its group's body, as often as it is played, onto the one below. A group that isn't closed
+    is played once; an end without a start counts for nothing.
     """
-    stack: list[list] = [[0]]
-    for k, mark in enumerate(score, 1):
-        if mark.repeat_count is None:
-            stack.append([])
-        elif len(stack) > 1:
-            body = stack.pop()
-            stack[-1].append((body, max(1, mark.repeat_count)))
-        stack[-1].append(k)
-    while len(stack) > 1:
-        body = stack.pop()
-        stack[-1].append((body, 1))
-    plays: list[list[int]] = [[] for _ in range(len(score) + 1)]
-    turn, open_ = 0, [(stack[0], 0, 1)]
-    while open_:  # group, place in it, passes left
-        body, at, left = open_.pop()
-        if at == len(body):
-            if left > 1:
-                open_.append((body, 0, left - 1))
-            continue
-        open_.append((body, at + 1, left))
-        if isinstance(body[at], tuple):
-            inner, count = body[at]
-            open_.append((inner, 0, count))
-        else:
-            plays[body[at]].append(turn)
-            turn += 1
-    yield score[0].score_id, plays
+    none = F.array().cast("array<int>")
+    all_but = lambda stack, n: F.slice(stack, 1, F.size(stack) - n)
+    pushed = lambda stack, body, n: F.concat(all_but(stack, n), F.array(body))
+
+    def step(acc: Column, mark: Column) -> Column:
+        stack = acc["stack"]
+        often = F.flatten(F.array_repeat(F.element_at(stack, -1), F.greatest(F.lit(1), mark["count"])))
+        closed = pushed(stack, F.concat(F.element_at(stack, F.when(F.size(stack) > 1, -2).otherwise(-1)), often), 2)
+        after = F.when(mark["count"].isNull(), F.concat(stack, F.array(none))).when(F.size(stack) > 1, closed).otherwise(stack)
+        following = acc["next"]
+        return let(after, lambda s: F.struct(pushed(s, F.concat(F.element_at(s, -1), F.array(following)), 1).alias("stack"), (following + 1).alias("next")))
+
+    start = F.struct(F.array(F.array(F.lit(0))).alias("stack"), F.lit(1).alias("next"))
+    order = F.aggregate(marks, start, step, lambda acc: F.flatten(acc["stack"]))
+    turns = lambda order, s: F.filter(F.transform(order, lambda x, i: F.when(x == s, i)), lambda i: i.isNotNull())
+    return let(order, lambda o: F.transform(F.sequence(F.lit(0), F.size(marks)), lambda s: turns(o, s)))
 
 
 def flattened_repeats(tokens: DataFrame) -> DataFrame:
     """Tokens in the order they are played, repeat marks gone; play_idx grows within a score and isn't dense.
 
-    Groups nest to any depth. Only the marks of scores that have some are folded; what they say of each
-    segment between two marks comes back by a join on the score, by which the tokens are dealt out anyway.
+    Groups nest to any depth. What a score's marks say of each segment between two of them is worked out once, on
+    the score's first row, and only for scores that have marks.
     """
     is_mark = F.col("kind") == "repeatBoundary"
-    plays = folds.by_key(tokens.where(is_mark).select("score_id", "tok_idx", "repeat_count"), ["score_id"], ["tok_idx"], _plays, "score_id long, plays array<array<long>>")
-    marked = with_groups(tokens).withColumn("_segment", F.count_if(is_mark).over(_to_here())).where(~is_mark)
-    turns = F.coalesce(F.get("plays", F.col("_segment").cast("int")), F.array("_segment"))
-    played = marked.join(plays, "score_id", "left").withColumn("_turn", F.explode(turns))
-    return played.withColumn("play_idx", F.shiftleft("_turn", 32) + F.col("tok_idx")).drop("plays", "_segment", "_turn")
+    ordered = Window.partitionBy("score_id").orderBy("tok_idx")
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marks = F.collect_list(F.when(is_mark, F.struct(F.col("repeat_count").alias("count")))).over(every)
+    rows = with_groups(tokens).withColumns({"_segment": F.count_if(is_mark).over(_to_here()).cast("int"), "_marks": marks, "_row": F.row_number().over(ordered)})
+    first = F.when((F.col("_row") == 1) & (F.size("_marks") > 0), _played_segments(F.col("_marks")))
+    rows = rows.withColumn("_first", first).drop("_marks", "_row").withColumn("_plays", F.first("_first").over(every)).where(~is_mark)
+    turns = F.when(F.col("_plays").isNull(), F.array("_segment")).otherwise(F.get("_plays", F.col("_segment")))
+    played = rows.withColumn("_turn", F.explode(turns))
+    return played.withColumn("play_idx", F.shiftleft(F.col("_turn").cast("long"), 32) + F.col("tok_idx")).drop("_segment", "_first", "_plays", "_turn")
 
 
 def with_parts(tokens: DataFrame, order: str = "tok_idx", default: str = "M") -> DataFrame:
