@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import NO_ID, chunks, fold, map_batches, order_key, utf8, word_bounds, word_hashes, written
+from scorelattice.llm.common import NO_ID, chunks, fold, map_batches, order_key, release_memory, utf8, word_bounds, word_hashes, written
 
 WIDTH = 13
 #: Ends of the batches, as shares of the ids in order: four small ones that make runs, compacted into one, and the rest.
@@ -44,7 +44,7 @@ LEAST_BUCKETS = 64
 BUCKET_BYTES = 16_000_000
 #: Most rows that a chunk sends to the buckets.
 FAN = 4096
-CHUNK_TEXT = 4 << 20
+CHUNK_TEXT = 2 << 20
 #: Bytes that a task of the second shuffle gathers before it cuts them.
 HELD_BYTES = 48 << 20
 _FLAT = "bucket int, kind string, chunk long, segments binary, ids binary, hashes binary, gaps binary, parts binary"
@@ -114,7 +114,7 @@ def _pack_hashes(a: np.ndarray, b: np.ndarray) -> bytes:
 
 def _unpack_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 10
-    return unplane(data[: 8 * n], 8), unplane(data[8 * n :], 2)
+    return unplane(data[: 8 * n], 8), unplane(data[8 * n :], 2).astype(np.uint16)
 
 
 # --- windows --------------------------------------------------------------
@@ -209,11 +209,13 @@ def _flatten(width: int, buckets: Buckets):
                 yield _batch(rows)
 
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK_TEXT:
-                yield from flush()
-                held, size = [], 0
+            step = max(1, batch.num_rows * CHUNK_TEXT // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
+                size += held[-1].nbytes
+                if size >= CHUNK_TEXT:
+                    yield from flush()
+                    held, size = [], 0
         if size:
             yield from flush()
 
@@ -224,12 +226,14 @@ def _flatten(width: int, buckets: Buckets):
 
 
 def _new(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """(a, b, id, chunk, position) of all windows of some rows."""
-    if not rows:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    hashes = [_unpack_hashes(r["hashes"]) for r in rows]
-    parts = [[h[0] for h in hashes], [h[1] for h in hashes], [undeltas(r["ids"], 8) for r in rows], [_unsegments(r["segments"]) for r in rows], [undeltas(r["gaps"], 4) for r in rows]]
-    return tuple(np.concatenate(p) for p in parts)
+    """(a, b, id, chunk, position) of all windows of some rows, a column at a time and in the least width."""
+
+    def column(field: str, read, kind: type) -> np.ndarray:
+        parts = [read(r[field]).astype(kind, copy=False) for r in rows]
+        return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+    a, b = column("hashes", lambda x: _unpack_hashes(x)[0], np.uint64), column("hashes", lambda x: _unpack_hashes(x)[1], np.uint16)
+    return a, b, column("ids", lambda x: undeltas(x, 8), np.int64), column("segments", _unsegments, np.int64), column("gaps", lambda x: undeltas(x, 4), np.int32)
 
 
 def _known(a: np.ndarray, b: np.ndarray, old_a: np.ndarray, old_b: np.ndarray) -> np.ndarray:
@@ -258,15 +262,20 @@ def _merge(keep: bool, compact: bool, replies: int):
         bucket, out = rows[0]["bucket"], [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] == "docs"]
         runs = [_unpack_hashes(r["hashes"]) for r in rows if r["kind"] == "run"]
         a, b, ids, chunk, at = _new([r for r in rows if r["kind"] == "new"])
+        del rows
         order, start = ordered(a, b)
         da, db = a[order[start]], b[order[start]]
-        if len(a):
-            first = np.minimum.reduceat(ids[order], start)
+        if len(order):
+            del a, b
+            ids = ids[order]
+            first = np.minimum.reduceat(ids, start)
             for old in runs:
                 first[_known(da, db, *old)] = _LEAST
-            hit = np.empty(len(a), bool)
-            hit[order] = ids[order] > np.repeat(first, np.diff(np.append(start, len(a))))
+            hit = np.empty(len(order), bool)
+            hit[order] = ids > np.repeat(first, np.diff(np.append(start, len(order))))
+            del order, start, ids, first
             out += _replies(bucket, chunk[hit], at[hit], replies)
+            del chunk, at
         if keep:
             if compact and runs:
                 a, b = np.concatenate([da, *[r[0] for r in runs]]), np.concatenate([db, *[r[1] for r in runs]])
@@ -274,6 +283,7 @@ def _merge(keep: bool, compact: bool, replies: int):
                 da, db = a[order[start]], b[order[start]]
             if len(da):
                 out.append(_row(bucket, "run", hashes=_pack_hashes(da, db)))
+        release_memory()
         return pa.Table.from_batches([_batch(out)] if out else [], pa.schema(zip(_NAMES, _TYPES, strict=True)))
 
     return run
