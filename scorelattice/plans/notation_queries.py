@@ -280,9 +280,6 @@ def preamble_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("score_id", "part").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("kind") == "note").alias("n_notes"), F.coalesce(F.max("instrument"), F.lit("")).alias("instrument"))
 
 
-_CUT_FIELDS = {"last": "lead(seq) OVER (PARTITION BY score_id, part_idx, measure_index ORDER BY seq) IS NULL"}
-
-
 def _long_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell for every four measures: longer than a measure more often than not."""
     rows = notes(spark, sf_dir).withColumn("cell", F.floor(F.col("measure_index") / 4))
