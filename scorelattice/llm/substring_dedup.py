@@ -13,10 +13,10 @@ documents, which is sent once. A chunk gives a row for each bucket, for up to `f
 gives a row for each group of buckets, and groups are cut into buckets, and replies into chunks,
 by a second shuffle. So a chunk's rows don't grow with the index.
 
-Verification: the merge compares 80 stored bits beside those that chose the bucket, 64 of one hash and
-16 to 38 of the other in all. Among n windows some two unlike ones are taken for equal with a chance of
-about n^2 / 2^(81 + log2(buckets)): 1e-11 at 0.5 GB, 4e-9 at 30 GB (1,900 buckets), 1e-5 at 100 TB
-(6 million buckets). Marks are only applied to the very text, by its hash, that they were made from.
+Verification: the merge compares 80 stored bits, 48 of one hash and 32 of the other, beside the leading bits of
+the first that chose the bucket. Among n windows some two unlike ones are taken for equal with a chance of about
+n^2 / 2^(81 + log2(buckets)): 5e-11 at 0.5 GB, 5e-9 at 30 GB (1,900 buckets), 2e-5 at 100 TB (6 million
+buckets). Marks are only applied to the very text, by its hash, that they were made from.
 
 Edge cases: null texts and texts without words have no words; texts of fewer than `width` words lose
 nothing; a null doc_id comes after all others; rows that share a doc_id are one document in the
