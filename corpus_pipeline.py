@@ -17,6 +17,7 @@ from scorelattice.llm.common import written
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: no letter at all, or n-grams like those of no profile.
 
+    Profiles and least scores come from every row with a text and a language outside the held-out fold.
     Null and empty texts have no letter and go; a null id or language doesn't matter; a very long text is read
     whole; repeated rows are judged each; without a training row nothing is known and all go; an empty table
     gives no rows; extra columns, whatever their names, are kept.

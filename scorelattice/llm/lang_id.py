@@ -18,15 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelattice.llm.common import crc_bucket, map_batches
+from scorelattice.llm.common import crc_bucket, dropped, map_batches, written
 
 #: n-grams in a profile, and of a document that are ranked.
 PROFILE = 400
-#: Bound on what is fitted: about so many training documents a language.
+#: About so many training documents a language, for callers that learn from fewer than all.
 TRAIN_DOCS = 400
+#: Characters whose n-grams are counted in one go, and distinct n-grams that a task holds before it hands them on.
+COUNTED, HELD = 1 << 18, 1 << 20
+#: Parts of the range of scores that are counted first to find a quantile.
+SCORE_PARTS = 4096
 #: Words of the excerpts that show how texts of each length score.
 EXCERPTS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 #: A text is in no known language if it scores below this share of what this quantile of training texts of its length reaches.
@@ -45,14 +49,12 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """(codes, counts) of a text's n-grams, or None if it has no letter.
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
-    A code holds up to three code points of 21 bits each.
-    """
-    if not text:
-        return None
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+def _grams(points: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """(codes, numbers) of the n-grams of lower-case code points, or None if none is a letter; a number is that of a letter of the n-gram."""
     is_letter = letters()[points]
     if not is_letter.any():
         return None
@@ -66,11 +68,35 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     both = inside[:-1] | inside[1:]  # not two edges of neighbouring words
     pairs = (points[:-1] << 21 | points[1:])[both]
     triples = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside[1:-1]]
-    codes = np.sort(np.concatenate((points[inside], pairs, triples)))
+    codes = np.concatenate((points[inside], pairs, triples))
+    if number is not None:
+        number = np.concatenate((number[:1], number, number[-1:]))[keep]
+        number = np.concatenate((number[inside], np.where(inside[:-1], number[:-1], number[1:])[both], number[1:-1][inside[1:-1]]))
+    return codes, number
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(codes, counts) of a text's n-grams, or None if it has no letter.
+
+    A code holds up to three code points of 21 bits each.
+    """
+    found = _grams(_points(text)) if text else None
+    if found is None:
+        return None
+    codes = np.sort(found[0])
     at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[at], np.diff(np.append(at, len(codes)))
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) with the counts of equal codes added up."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[at], np.add.reduceat(counts[order], at)
+
+
 def ranked(codes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     """The n most frequent codes, most frequent first; ties by code."""
     if len(codes) > n:
@@ -99,52 +125,115 @@ class Profiles:
         found = gram_counts(text)
         if found is None or not self.langs:
             return UNDETERMINED, 0.0, 0
-        own = ranked(*found, self.size)
+        best, score = self._nearest(self._ranks(ranked(*found, self.size)))
+        return self.langs[best], score, int(found[1].sum()).bit_length()
+
+    def excerpts(self, text: str, sizes: tuple[int, ...] = EXCERPTS) -> list[tuple[float, int]]:
+        """(score, length class) of the first so many words of a text, for each size below its number of words.
+
+        As measured() gives them, from one encoding of the longest; excerpts without a letter are left out.
+        """
+        words = text.split(None, sizes[-1])
+        sizes = [n for n in sizes if n < len(words)]
+        if not sizes or not self.langs:
+            return []
+        points = _points(" ".join(words[: sizes[-1]]))
+        found = _grams(points, np.cumsum(points == _EDGE))
+        if found is None:
+            return []
+        order = np.argsort(found[1], kind="stable")
+        codes, own = np.unique(found[0][order], return_inverse=True)
+        ranks, out = self._ranks(codes), []
+        for end in np.searchsorted(found[1][order], sizes).tolist():
+            if end:
+                counts = np.bincount(own[:end])
+                at = np.flatnonzero(counts)
+                at = at[np.argsort(-counts[at], kind="stable")][: self.size]
+                out.append((self._nearest(ranks[at])[1], end.bit_length()))
+        return out
+
+    def _ranks(self, own: np.ndarray) -> np.ndarray:
+        """Each code's rank in each language, -1 where it has none."""
         at = np.searchsorted(self.codes, own)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == own[known]
-        ranks = self.table[np.where(known, at, len(self.codes))]
-        place = np.arange(len(own))[:, None]
+        return self.table[np.where(known, at, len(self.codes))]
+
+    def _nearest(self, ranks: np.ndarray) -> tuple[int, float]:
+        """(language, score) of n-grams, most frequent first, by their ranks."""
+        place = np.arange(len(ranks))[:, None]
         distance = np.where(ranks < 0, self.size, np.abs(ranks - place)).sum(axis=0)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (len(own) * self.size)), int(found[1].sum()).bit_length()
+        return best, float(1 - distance[best] / (len(ranks) * self.size))
+
 
+def _training_rows(docs: DataFrame, bucket: int) -> DataFrame:
+    return docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id")) != bucket))
 
-def _sample(docs: DataFrame, bucket: int, per_language: int) -> DataFrame | None:
-    """lang, text of the training rows, or None if there are none."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id")) != bucket))
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+def _drawn(rows: DataFrame, per_language: int) -> DataFrame:
+    """About so many rows of each language, chosen by a hash of the id."""
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not totals:
-        return None
+        return rows
     share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) / float(1 << 20)
-    return usable.where(draw < share[F.col("lang")]).select("lang", "text")
+    return rows.where(draw < share[F.col("lang")])
 
 
-def train(docs: DataFrame, bucket: int = 0, per_language: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
-    """Profiles from rows whose id's bucket isn't `bucket` and whose language is known.
+def train(docs: DataFrame, bucket: int = 0, per_language: int | None = None, size: int = PROFILE) -> Profiles:
+    """Profiles from all rows whose id's bucket isn't `bucket` and whose language is known.
 
-    At most about `per_language` documents of each language are read, chosen by a hash of the id.
+    With `per_language` only about so many documents of each language are read, chosen by a hash of the id.
     """
-    sample = _sample(docs, bucket, per_language)
-    if sample is None:
-        return Profiles({}, size)
+    rows = _training_rows(docs, bucket)
+    if per_language is not None:
+        rows = _drawn(rows, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, int]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        total = 0
         for batch in batches:
+            texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if found := gram_counts(text):
-                    own = held.setdefault(lang, {})
-                    for code, n in zip(found[0].tolist(), found[1].tolist(), strict=True):
-                        own[code] = own.get(code, 0) + n
-        for lang, own in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
-
-    summed = map_batches(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # the `size` best of each language: bounded, whatever the corpus holds
-    best = summed.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "code"))), 1, size).alias("top"))
-    return Profiles({r["lang"]: np.array([x["code"] for x in r["top"]], np.int64) for r in best.collect()}, size)
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                for text in _joined(own):
+                    if found := gram_counts(text):
+                        held.setdefault(lang, []).append(found)
+                        total += len(found[0])
+                    if total > HELD:
+                        held = {k: [summed(x)] for k, x in held.items()}
+                        total = sum(len(x[0][0]) for x in held.values())
+                        if total > HELD // 2:
+                            yield from handed_on(held)
+                            held, total = {}, 0
+        yield from handed_on(held)
+
+    def handed_on(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            codes, counts = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(codes)), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
+
+    counted = map_batches(rows.select("lang", "text"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # the `size` best of each language, cut before they are brought together: bounded, whatever the corpus holds
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    best: dict[str, list[tuple[int, int]]] = {}
+    for r in counted.withColumn("place", place).where(F.col("place") <= size).collect():
+        best.setdefault(r["lang"], []).append((r["place"], r["code"]))
+    return Profiles({lang: np.array([code for _, code in sorted(own)], np.int64) for lang, own in best.items()}, size)
+
+
+def _joined(texts: list[str]) -> Iterator[str]:
+    """The texts with spaces between, COUNTED characters at a time, but longer texts whole: n-grams don't cross a space."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > COUNTED:
+            yield " ".join(part)
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    yield " ".join(part)
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -158,26 +247,23 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score, "doc_id long, lang_pred string, score double")
 
 
-def floors(docs: DataFrame, profiles: Profiles, bucket: int = 0, per_language: int = TRAIN_DOCS) -> np.ndarray:
-    """The least score of a text in a known language, by length class, from training rows and their first words.
+def floors(docs: DataFrame, profiles: Profiles, bucket: int = 0) -> np.ndarray:
+    """The least score of a text in a known language, by length class, from all training rows and their first words.
 
     Short texts score lower than long ones, in a known language and out of one, so that each length has a floor of its own.
     """
-    sample = _sample(docs, bucket, per_language)
-    if sample is None:
-        return np.zeros(64)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                words = text.split(None, EXCERPTS[-1])
-                found += [profiles.measured(x) for x in (text, *[" ".join(words[:n]) for n in EXCERPTS if n < len(words)])]
-            found = [x for x in found if x[0] != UNDETERMINED]
-            yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["length", "score"])
+                lang, *own = profiles.measured(text)
+                if lang != UNDETERMINED:
+                    found += [own, *profiles.excerpts(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int32()), pa.array([x[0] for x in found], pa.float64())], ["length", "score"])
 
-    scores = map_batches(sample.select("text"), measure, "length int, score double")
-    low = {r["length"]: (r["low"], r["n"]) for r in scores.groupBy("length").agg(F.percentile_approx("score", FLOOR_QUANTILE, 10_000).alias("low"), F.count("*").alias("n")).collect()}
+    scores = map_batches(_training_rows(docs, bucket).select("text"), measure, "length int, score double")
+    low = low_scores(scores, FLOOR_QUANTILE)
     out = np.zeros(64)
     for at in range(64) if low else ():
         # outwards from the length, until there are scores enough
@@ -192,6 +278,41 @@ def floors(docs: DataFrame, profiles: Profiles, bucket: int = 0, per_language: i
     return out
 
 
+def low_scores(scores: DataFrame, share: float) -> dict[int, tuple[float, int]]:
+    """For each length (the least score that `share` of its scores don't exceed, their number), from (length, score) rows.
+
+    Exact: parts of the range of scores are counted first, then the scores of the part that holds the quantile. A score is a
+    whole distance over one of PROFILE products, so a part has a bounded number of different ones, however many rows there are.
+    """
+    alike = written(scores.groupBy("length", "score").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("score") * SCORE_PARTS)), "language-scores")
+    parts: dict[int, list[tuple[float, int]]] = {}
+    for r in alike.groupBy("length", "part").agg(F.sum("n").alias("n")).collect():
+        parts.setdefault(r["length"], []).append((r["part"], r["n"]))
+    totals = {length: sum(n for _, n in own) for length, own in parts.items()}
+    held = {length: _reaching(own, share * totals[length]) for length, own in parts.items()}
+    out: dict[int, tuple[float, int]] = {}
+    if held:
+        part = F.create_map(*[F.lit(x) for length, (k, _) in held.items() for x in (length, k)])
+        near: dict[int, list[tuple[float, int]]] = {}
+        for r in alike.where(F.col("part") == part[F.col("length")]).collect():
+            near.setdefault(r["length"], []).append((r["score"], r["n"]))
+        out = {length: (_reaching(own, share * totals[length] - held[length][1])[0], totals[length]) for length, own in near.items()}
+    dropped(alike)
+    return out
+
+
+def _reaching(counted: list[tuple[float, int]], wanted: float) -> tuple[float, int]:
+    """(the least value with which the counts of it and all smaller ones reach what is wanted, the count of the smaller ones)."""
+    below = 0
+    for value, n in sorted(counted):
+        if below + n >= wanted:
+            break
+        below += n
+    else:  # by a rounding
+        below -= n
+    return value, below
+
+
 def keep_known(docs: DataFrame, profiles: Profiles, least: np.ndarray) -> DataFrame:
     """The rows of docs whose language is determined with at least the score of their length class, unchanged."""
     at = docs.columns.index("text")

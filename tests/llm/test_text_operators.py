@@ -106,6 +106,68 @@ def test_language_against_plain_out_of_place_distance(documents, collected):
         assert out[i]["lang_pred"] == best and out[i]["score"] == pytest.approx(1 - distance[best] / (len(own) * size)), t
 
 
+@pytest.mark.parametrize("held", [1 << 20, 200])
+def test_language_stage_learns_from_all_training_rows(spark, documents, monkeypatch, held):
+    """Profiles and floors of the pipeline against plain ones over every training row, of languages with more rows than a sample would hold."""
+    from collections import Counter, defaultdict
+
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzéèüñ"
+    words = {x: ["".join(rnd.choices(letters, [rnd.random() for _ in letters], k=rnd.randint(1, 7))) for _ in range(80)] for x in ("aa", "bb")}
+    rows = [(i, " ".join(rnd.choices(words[x], k=rnd.choice([1, 3, 9, 40]))) + rnd.choice(["", " 12", ".\n"]), x) for i in range(1700) for x in ["aa" if i < 1400 else "bb"]]
+    rows += [(3000, "123", "aa"), (3001, "", "aa"), (3002, None, "aa"), (3003, "xyz", None)]
+    learned = [(t, x) for i, t, x in rows if t and x and zlib.crc32(str(i).encode()) % 5]
+    counts = defaultdict(Counter)
+    for t, x in learned:
+        if found := lang_id.gram_counts(t):
+            counts[x].update(dict(zip(*(v.tolist() for v in found), strict=True)))
+    profiles = lang_id.Profiles({x: np.array([c for c, _ in sorted(own.items(), key=lambda y: (-y[1], y[0]))][: lang_id.PROFILE]) for x, own in counts.items()}, lang_id.PROFILE)
+    scores = defaultdict(list)
+    for t, _ in learned:
+        w = t.split()
+        for text in [t, *[" ".join(w[:n]) for n in lang_id.EXCERPTS if n < len(w)]]:
+            lang, score, length = profiles.measured(text)
+            if lang != "und":
+                scores[length].append(score)
+    low = {k: (sorted(v)[max(0, int(np.ceil(lang_id.FLOOR_QUANTILE * len(v))) - 1)], len(v)) for k, v in scores.items()}
+    seen = []
+    monkeypatch.setattr(lang_id, "HELD", held)
+    monkeypatch.setattr(lang_id, "keep_known", lambda docs, profiles, least: seen.extend([profiles, least]) or docs)
+    corpus_pipeline.identify_language(spark, documents(rows), "")
+    assert seen[0].langs == profiles.langs
+    assert (seen[0].codes == profiles.codes).all() and (seen[0].table == profiles.table).all()
+    for at in range(64):
+        near, n, away = [], 0, 0
+        while n < lang_id.FLOOR_SCORES and away < 64:
+            own = [low[k] for k in {at - away, at + away} if k in low]
+            near, n, away = near + [x for x, _ in own], n + sum(m for _, m in own), away + 1
+        assert seen[1][at] == lang_id.FLOOR_SHARE * min(near)
+
+
+def test_excerpts_score_as_texts_of_their_own():
+    rnd = random.Random(12)
+    profiles = lang_id.Profiles({x: lang_id.ranked(*lang_id.gram_counts(w), lang_id.PROFILE) for x, w in (("en", EN), ("fr", FR))}, lang_id.PROFILE)
+    odd = ["12", "ΑΣ", "İx", "l'été", "Straße", "a-b", "--", "\ud800z", "ΣΑ'", "ﬀ"]
+    for k in range(60):
+        text = "".join(rnd.choice([*(EN + " " + FR).split(), *odd]) + rnd.choice([" ", "\n", "\u00a0", "\x1c", "  "]) for _ in range(rnd.choice([0, 1, 2, 5, 70, 1300])))
+        text = ["", "1 2 3 "][k % 2] + text
+        w = text.split()
+        want = [profiles.measured(" ".join(w[:n])) for n in lang_id.EXCERPTS if n < len(w)]
+        assert profiles.excerpts(text) == [(score, length) for lang, score, length in want if lang != "und"]
+
+
+def test_least_scores_are_exact(spark):
+    rnd = random.Random(13)
+    rows = [(length, rnd.choice([rnd.random(), rnd.randrange(50) / 50, 1.0, 0.5 + rnd.randrange(9) / 1e6])) for length, n in ((1, 1), (2, 7), (5, 1000), (9, 6000)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "length int, score double")
+    for share in (0.001, 0.01, 0.25, 0.5, 1.0):
+        own = {k: sorted(s for x, s in rows if x == k) for k in (1, 2, 5, 9)}
+        assert lang_id.low_scores(df, share) == {k: (v[max(0, int(np.ceil(share * len(v))) - 1)], len(v)) for k, v in own.items()}
+    assert lang_id.low_scores(df.limit(0), 0.001) == {}
+
+
 # --- quality --------------------------------------------------------------
 
 
