@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scorelattice.operators import noteheads
-from scorelattice.plans import page_queries
+from scorelattice.operators import folds, lexing, musicxml_in, musicxml_out, noteheads, parsing
+from scorelattice.plans import bridge, page_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,3 +40,67 @@ def test_signs_left_of_a_head_as_each_place_alone_would_give():
                     if np.count_nonzero(part & glyph) >= np.count_nonzero(glyph) / 2:
                         best = max(best, np.count_nonzero(part == glyph) / glyph.size)
         assert noteheads.agreement_left(ink, left, cy, glyph, spacing) == best
+
+
+def _orders(spark, folder, scores):
+    """Tables of so many scores with one measure of 40 notes each."""
+    ids = spark.range(scores)
+    ids.select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("1995-01-01").cast("date").alias("o_orderdate")).write.parquet(f"{folder}/orders.parquet")
+    lines = ids.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    number = lambda k: F.xxhash64("id", "n", F.lit(k))
+    lines.select(F.col("id").alias("l_orderkey"), (F.col("n") % 7 + 1).cast("int").alias("l_linenumber"), F.abs(number(1) % 1000000).alias("l_partkey"), F.abs(number(2) % 1000000).alias("l_suppkey"), F.abs(number(3) % 50).cast("double").alias("l_quantity"), F.abs(number(4) % 100000000).cast("double").alias("l_extendedprice"), F.lit("R").alias("l_returnflag")).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_shares_grow_with_the_input(spark, tmp_path):
+    few, many = _orders(spark, tmp_path / "few", 500), _orders(spark, tmp_path / "many", 12_000)
+    of = lambda folder: bridge.sources(spark, folder)
+    for made in (bridge.notes, lambda s, d: lexing.tokens(bridge.sources(s, d)), lambda s, d: parsing.grid_cells(lexing.tokens(bridge.sources(s, d)))):
+        a, b = made(spark, few).rdd.getNumPartitions(), made(spark, many).rdd.getNumPartitions()
+        assert b >= 8 and b > 2 * a
+    # texts of the notes lie by score already: nothing but the notes is moved
+    plan = lexing.tokens(of(few))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_what_is_played_of_long_repeats_takes_room_in_proportion(spark):
+    """A segment is told by where its turns begin, not by a list of its own looked for in all that is played."""
+    text = " ".join(f":C4k:{1 + k % 3}" for k in range(300))
+    rows = parsing.flattened_repeats(lexing.tokens(spark.createDataFrame([(1, f":{text}:2")], "score_id long, source string")))
+    got = [r["offset"] for r in rows.where("kind = 'note'").orderBy("play_idx").select("offset").collect()]
+    once = [k * 7 + 2 for k in range(300) for _ in range(1 + k % 3)]
+    assert got == once * 2
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "turns" in plan and "begins" in plan
+
+
+def test_tokens_reach_the_document_fold_as_few_columns(spark, monkeypatch):
+    seen = {}
+    real = folds.by_key
+
+    def by_key(df, *rest):
+        seen["types"] = dict(df.dtypes)
+        return real(df, *rest)
+
+    monkeypatch.setattr(musicxml_out.folds, "by_key", by_key)
+    musicxml_out.documents(spark.createDataFrame([(1, "[K+2] C4k F4k")], "score_id long, source string"))
+    assert len(seen["types"]) <= 10 and not any("array" in t or "struct" in t for t in seen["types"].values())
+
+
+def test_notes_are_written_once_for_all_alike():
+    musicxml_out._note_xml.cache_clear()
+    head = "1\x1f1\x1f64\x1f0\x1f0\x1fTREBLE".replace("1\x1f1", "4\x1f4", 1)
+    note = "16\x1f0\x1f\x1f\x1f\x1ffalse\x1f\x1f\x1f\x1fC 4 0\x1f\x1f"
+    tokens = [musicxml_out._Token(1, 0, "1", None, "note", False, None, *musicxml_out._unsealed(note, head)) for _ in range(200)]
+    list(musicxml_out._written(tokens))
+    assert musicxml_out._note_xml.cache_info().misses == 1
+
+
+def test_a_plain_note_of_a_document_is_looked_through_once(monkeypatch):
+    searched = []
+    real = musicxml_in._typed
+    monkeypatch.setattr(musicxml_in, "_typed", lambda el, tag, kind: searched.append(tag) or real(el, tag, kind))
+    note = "<note><pitch><step>C</step><octave>4</octave></pitch><duration>16</duration><voice>1</voice></note>"
+    xml = f'<score-partwise><part-list/><part id="P1"><measure number="1"><attributes><divisions>16</divisions></attributes>{note * 4}</measure></part></score-partwise>'
+    assert musicxml_in.convert(xml)["source"].endswith("[1]| C4k C4k C4k C4k , |")
+    assert not {"slur", "tie"} & set(searched)
